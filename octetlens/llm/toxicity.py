@@ -158,7 +158,7 @@ def _examples(bits: int, groups):
 
 def train_toxicity(
     labelled: DataFrame, sample_rows: int = 12000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
-    alpha: float = 0.5, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0, fairness: float = 1.0, epochs: int = 4, bits: int = BITS, groups=IDENTITY_GROUPS,
+    alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, fairness: float = 1.0, epochs: int = 4, bits: int = BITS, groups=IDENTITY_GROUPS,
 ) -> ToxicityModel:
     """Fits on about ``sample_rows`` labelled rows chosen by a hash of the identifier; a fifth is kept to calibrate.
 
