@@ -136,10 +136,12 @@ def _cell(k: int, percent: int, ones: int):
     """Links of a cell: pairs across components, each in the first band its members share."""
 
     def run(group: pa.Table) -> pa.Table:
-        # Of a cell of two blocks, pairs within a block belong to that block's own cell.
+        # Kind 0 compares members of the largest component with all others. Kind 1 compares the others with each other;
+        # in a cell of two blocks, pairs within a block belong to that block's own cell.
+        inner = group.column("kind")[0].as_py() == 0
         two = group.column("low")[0].as_py() != group.column("high")[0].as_py()
         group = group.sort_by([("component", "ascending"), ("id", "ascending")])
-        ids, comp, block = (group.column(c).to_numpy() for c in ("id", "component", "block"))
+        ids, comp, block, apart = (group.column(c).to_numpy() for c in ("id", "component", "block", "apart"))
         keys = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)
         band = int((keys[0].view(np.int64) == group.column("key")[0].as_py()).argmax())
         sketch = np.stack([group.column(w).to_numpy() for w in WORDS], axis=1)
@@ -160,7 +162,9 @@ def _cell(k: int, percent: int, ones: int):
         for i in range(1, len(ids)):
             near = np.bitwise_count(sketch[:i] ^ sketch[i]).sum(axis=1) <= ones
             near &= (comp[:i] != comp[i]) & (100 * np.minimum(size[:i], size[i]) >= percent * np.maximum(size[:i], size[i]))
-            if two:
+            if inner:
+                near &= apart[:i] != apart[i]
+            elif two:
                 near &= block[:i] != block[i]
             for j in np.flatnonzero(near).tolist():
                 if find(comp[i]) == find(comp[j]) or int((keys[i] == keys[j]).argmax()) != band:
@@ -200,14 +204,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     both = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     links = store(both.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
     first = store(components(links), "first")
-    # Buckets whose members, the leader apart, lie in several components.
+    # Buckets whose members, the leader apart, lie in several components. Members of the largest need no second look at
+    # each other: each lies in one cell, and only the others, mostly few, go to all cells and meet among themselves.
     named = shared.where("id <> leader").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_ = named.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-    blocks = F.ceil(F.col("members") / CELL)
-    rows = store(named.join(open_, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).select("key", "id", "component", "blocks", "block"), "open")
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    parts = parts.agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members")).where("most.n < members")
+    open_ = store(parts.select("key", F.col("most.component").alias("largest"), F.ceil(F.col("most.n") / CELL).alias("inner"), F.ceil((F.col("members") - F.col("most.n")) / CELL).alias("outer")), "open")
+    rows = named.join(open_, "key").withColumn("apart", F.col("component") != F.col("largest"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("apart"), F.col("outer")).otherwise(F.col("inner")))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
+    cell = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.cast("long").alias("low"), high.cast("long").alias("high"))
+    within = F.transform(every(F.col("inner")), lambda b: cell(0, b, b))
+    among = F.transform(every(F.col("outer")), lambda b: cell(1, F.least(F.col("block"), b), F.greatest(F.col("block"), b)))
+    held = F.when(F.col("apart"), F.concat(within, among)).otherwise(F.array(cell(0, F.col("block"), F.col("block"))))
+    cells = rows.withColumn("block", block).withColumn("cell", F.explode(held)).select("key", "id", "component", "apart", "block", "cell.*")
     filled = cells.join(reps.select("id", "n", "bands", *WORDS), "id").join(texts, "id")
-    more = store(filled.groupBy("key", "low", "high").applyInArrow(_cell(k, percent, ones), "a long, b long"), "more")
+    more = store(filled.groupBy("key", "kind", "low", "high").applyInArrow(_cell(k, percent, ones), "a long, b long"), "more")
     final = store(components(links.union(more)), "final")
     per_set = store(reps.select("fingerprint", "id").join(final, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component")), "per_set")
     out = signed.select("doc_id", "n", "fingerprint").join(per_set, "fingerprint", "left").select(
