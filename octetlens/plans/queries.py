@@ -1,4 +1,387 @@
-"""Registered queries of the detector."""
+"""Registered queries of the detector and the same in DuckDB's SQL.
 
-QUERIES = {}
-ORACLE_SQL = {}
+DuckDB sees the texts; its hex digits stand for UTF-8 bytes. Where a query works on ISO-8859-1 bytes, the texts' characters
+up to U+00FF are these bytes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bytesx as B
+from ..functions import grammar as G
+from ..functions.renames import ISO_TO_WINDOWS, LEGACY, renamed
+from ..operators.classes import class_model, latin1_classes, macroman_classes
+from ..sources.files import report
+from ..streaming.incremental import detect_chunks
+from .detect import detect, detect_all, explain_probers, utf8_chars, utf8_confidence
+
+QUERIES, ORACLE_SQL = {}, {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _utf8(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", *more, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("content"))
+
+
+def _latin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISO-8859-1 bytes of texts that have them; other characters become question marks."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\xff]", "?")
+    return _docs(spark, sf_dir).select("doc_id", F.encode(text, "ISO-8859-1").alias("content"))
+
+
+
+
+def L():  # noqa: N802
+    return B.latin(F.col("content"))
+
+
+_TEXT = r"regexp_replace(coalesce(text, ''), '[^\x00-\xff]', '?', 'g')"
+_MB = r"length(regexp_replace(coalesce(text, ''), '[\x00-\x7f]', '', 'g'))"
+_ODD = "regexp_matches(coalesce(text, ''), '[\\x{10000}-\\x{1FFFF}\\x0e\\x0f\\x1b]')"
+_CONF = f"CASE WHEN {_MB} < 6 THEN 1e0 - 0.99e0 * pow(0.5e0, {_MB}) ELSE 0.99e0 END"
+
+
+@query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents")
+def q_bytes_len(spark, sf_dir):
+    chars = F.length(F.coalesce(F.col("text"), F.lit("")))
+    return _docs(spark, sf_dir).select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), chars.cast("long").alias("n_chars"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^\x00-\x7f]') THEN 'HIGH_BYTE'
+WHEN regexp_matches(coalesce(text, ''), '\x1b|~\{') THEN 'ESC_ASCII' ELSE 'PURE_ASCII' END AS input_state FROM documents""")
+def q_input_state(spark, sf_dir):
+    return _utf8(spark, sf_dir).select("doc_id", B.input_state(L()).alias("input_state"))
+
+
+@query("SELECT doc_id, regexp_matches(hex(encode(coalesce(text, ''))), '^(?:[0-9A-F]{2})*[89][0-9A-F]') AS has_win FROM documents")
+def q_has_win_bytes(spark, sf_dir):
+    return _utf8(spark, sf_dir).select("doc_id", B.has_win_bytes(L()).alias("has_win"))
+
+
+_MARKED = ["EFBBBF", "FFFE0000", "0000FEFF", "FEFF0000", "0000FFFE", "FFFE", "FEFF"]
+
+
+@query("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'UTF-8-SIG' WHEN 1 THEN 'UTF-32' WHEN 2 THEN 'UTF-32' WHEN 3 THEN 'X-ISO-10646-UCS-4-3412'
+WHEN 4 THEN 'X-ISO-10646-UCS-4-2143' ELSE 'UTF-16' END AS encoding, 1e0 AS confidence, '' AS language FROM documents""")
+def q_bom(spark, sf_dir):
+    marks = F.array(*[F.lit(bytes.fromhex(m)) for m in _MARKED])
+    marked = _utf8(spark, sf_dir).withColumn("content", F.concat(F.get(marks, F.pmod("doc_id", F.lit(7)).cast("int")), "content"))
+    return detect(marked).select("doc_id", "detected.*")
+
+
+@query(f"SELECT doc_id, {_MB}::BIGINT AS n_mb, {_CONF} AS utf8_conf FROM documents WHERE NOT {_ODD}")
+def q_utf8_mb_chars(spark, sf_dir):
+    docs = _utf8(spark, sf_dir).where(~G.illegal(L(), "utf-8")).select("doc_id", utf8_chars(L()).cast("long").alias("n_mb"))
+    return docs.withColumn("utf8_conf", utf8_confidence(F.col("n_mb")))
+
+
+_SURE = f"""SELECT doc_id, lang, CASE WHEN coalesce(text, '') = '' THEN NULL WHEN {_MB} = 0 THEN 'ascii' ELSE 'utf-8' END AS encoding,
+CASE WHEN coalesce(text, '') = '' THEN 0e0 WHEN {_MB} = 0 THEN 1e0 ELSE 0.99e0 END AS confidence,
+CASE WHEN coalesce(text, '') = '' THEN NULL ELSE '' END AS language FROM documents WHERE ({_MB} = 0 OR {_MB} >= 5) AND NOT {_ODD} AND NOT contains(coalesce(text, ''), '~{{')"""
+
+
+def _sure(spark, sf_dir):
+    docs = _utf8(spark, sf_dir, "lang").where((~B.has_high_byte(L()) & ~B.has_escape(L())) | (~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5) & ~L().contains("~{")))
+    return detect(docs).select("doc_id", "lang", "detected.*")
+
+
+@query(_SURE)
+def q_utf8_detect(spark, sf_dir):
+    return _sure(spark, sf_dir)
+
+
+@query(f"SELECT lang, encoding, count(*)::BIGINT AS n, min(confidence) AS least, max(confidence) AS most FROM ({_SURE}) GROUP BY lang, encoding")
+def q_detect_by_lang(spark, sf_dir):
+    return _sure(spark, sf_dir).groupBy("lang", "encoding").agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+
+
+_HEX = "WITH h AS (SELECT doc_id, lang, hex(encode(coalesce(text, ''))) AS h FROM documents)"
+
+
+def _bytes_of(df, *keep):
+    """Each byte with its position: partial counts of these are small, whatever the length."""
+    return df.select(*keep, F.posexplode(F.split(F.hex("content"), "(?<=\\G..)")).alias("at", "byte")).where("byte <> ''")
+
+
+@query(_HEX + " SELECT byte, count(*)::BIGINT AS cnt FROM (SELECT unnest(regexp_extract_all(h, '..')) AS byte FROM h) GROUP BY byte")
+def q_byte_hist(spark, sf_dir):
+    return _bytes_of(_utf8(spark, sf_dir)).groupBy("byte").agg(F.count("*").alias("cnt"))
+
+
+@query(_HEX + """, b AS (SELECT lang, unnest(list_zip(regexp_extract_all(h, '..'), regexp_extract_all(substr(h, 3), '..'))) AS p FROM h),
+c AS (SELECT lang, p[1] || p[2] AS pair, count(*)::BIGINT AS cnt FROM b WHERE p[2] IS NOT NULL GROUP BY 1, 2)
+SELECT lang, pair, cnt FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, pair) AS rn FROM c) WHERE rn <= 20""")
+def q_bigram_top(spark, sf_dir):
+    from pyspark.sql import Window
+
+    digits = F.hex("content")
+    split = F.split(digits, "(?<=\\G..)")
+    each = _utf8(spark, sf_dir, "lang").where(F.length("content") > 1).select("lang", F.explode(F.zip_with(F.slice(split, 1, F.length("content") - 1), F.slice(split, 2, F.length("content") - 1), lambda x, y: F.concat(x, y))).alias("pair"))
+    counted = each.groupBy("lang", "pair").agg(F.count("*").alias("cnt"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cnt"), "pair"))
+    return counted.withColumn("rn", rank).where("rn <= 20").drop("rn")
+
+
+@query(r"SELECT doc_id, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', 'éé', 'g'), '[\x00-\x7f]+', ' ', 'g'))::BIGINT AS n FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x00-\xff]')")
+def q_high_only(spark, sf_dir):
+    docs = _docs(spark, sf_dir).where(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\xff]")).select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("content"))
+    return docs.select("doc_id", F.length(B.high_byte_only(L())).cast("long").alias("n"))
+
+
+_WORDS_SQL = rf"regexp_extract_all({_TEXT}, '[a-zA-Z]*[\x80-\xff]+[a-zA-Z]*[^a-zA-Z\x80-\xff]?')"
+
+
+@query(f"SELECT doc_id, len({_WORDS_SQL})::BIGINT AS n_words, coalesce(list_sum(list_transform({_WORDS_SQL}, lambda x: length(x))), 0)::BIGINT AS n_chars FROM documents")
+def q_intl_words(spark, sf_dir):
+    words = F.regexp_extract_all(L(), F.lit(B.WORD), F.lit(0))
+    return _latin(spark, sf_dir).select("doc_id", F.size(words).cast("long").alias("n_words"), F.length(B.international_words(L())).cast("long").alias("n_chars"))
+
+
+@query("""WITH p AS (SELECT page_id, string_split(coalesce(html, ''), '<') AS parts FROM pages),
+s AS (SELECT page_id, list_transform(parts, lambda x: CASE WHEN contains(x, '>') THEN substr(x, length(x) - position('>' IN reverse(x)) + 2) END) AS inner_, parts FROM p)
+SELECT page_id, (CASE WHEN len(parts) = 1 THEN length(coalesce(inner_[1], parts[1])) ELSE
+  (CASE WHEN length(coalesce(inner_[1], parts[1])) > 0 THEN length(coalesce(inner_[1], parts[1])) + 1 ELSE 0 END)
+  + coalesce(list_sum(list_transform(inner_[2:len(parts) - 1], lambda x: CASE WHEN length(x) > 0 THEN length(x) + 1 ELSE 0 END)), 0)
+  + coalesce(length(inner_[len(parts)]), 0) END)::BIGINT AS n FROM s""")
+def q_strip_tags(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.length(B.strip_tags(F.coalesce("html", F.lit("")))).cast("long").alias("n"))
+
+
+def _class_text(stripped, classes):
+    """A string of class digits, the starting class in front. Only whole-string functions, so it stays in generated code."""
+    out = stripped
+    groups: dict[str, list[int]] = {}
+    for b, c in enumerate(classes):
+        groups.setdefault(str(int(c)), []).append(b)
+    # Digits are written as private characters first: they must not be taken for bytes of their own.
+    for digit, members in groups.items():
+        pattern = "[" + "".join(f"\\x{b:02x}" for b in members) + "]"
+        out = F.regexp_replace(out, pattern, chr(0xE000 + int(digit)))
+    return F.concat(F.lit(chr(0xE001)), out)
+
+
+def _pair_counts(text, value: int, model):
+    """How many adjacent classes have this value."""
+    alternatives = []
+    for a in range(9):
+        then = [b for b in range(9) if model[a][b] == value]
+        if then:
+            alternatives.append(f"{chr(0xE000 + a)}(?=[{''.join(chr(0xE000 + b) for b in then)}])")
+    return F.regexp_count(text, F.lit("|".join(alternatives)))
+
+
+def _western(spark, sf_dir, classes, prior: int):
+    model = class_model()
+    docs = _latin(spark, sf_dir).select("doc_id", _class_text(B.strip_tags(L()), classes).alias("c"))
+    f = {v: _pair_counts(F.col("c"), v, model) for v in (1, 2, 3)}
+    counts = docs.select("doc_id", F.col("c").contains(chr(0xE000)).alias("undefined"), *[f[v].cast("double").alias(f"f{v}") for v in f])
+    total = F.col("f1") + F.col("f2") + F.col("f3") + F.lit(float(prior))
+    c = F.when(total >= 1, (F.col("f3") - F.col("f1") * 20.0) / total).otherwise(0.0)
+    return counts.select("doc_id", F.when(F.col("undefined"), 0.01).otherwise(F.greatest(c, F.lit(0.0)) * 0.73).alias("confidence"))
+
+
+def _western_sql(classes, prior: int) -> str:
+    model = class_model()
+    rows = ", ".join(f"({b}, {int(c)})" for b, c in enumerate(classes))
+    values = ", ".join(f"({a}, {b}, {int(model[a][b])})" for a in range(9) for b in range(9))
+    return f"""
+WITH cls(b, c) AS (VALUES {rows}), mdl(a, b, v) AS (VALUES {values}),
+t AS (SELECT doc_id, {_TEXT} AS t FROM documents),
+p AS (SELECT doc_id, string_split(t, '<') AS parts FROM t),
+s AS (SELECT doc_id, parts, list_transform(parts, lambda x: CASE WHEN contains(x, '>') THEN substr(x, length(x) - position('>' IN reverse(x)) + 2) END) AS i FROM p),
+f AS (SELECT doc_id, CASE WHEN len(parts) = 1 THEN coalesce(i[1], parts[1]) ELSE
+  (CASE WHEN coalesce(i[1], parts[1]) <> '' THEN coalesce(i[1], parts[1]) || ' ' ELSE '' END)
+  || array_to_string(list_transform(list_filter(i[2:len(parts) - 1], lambda x: x <> ''), lambda x: x || ' '), '') || coalesce(i[len(parts)], '') END AS t FROM s),
+e AS (SELECT doc_id, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS place FROM f WHERE t <> ''),
+k AS (SELECT doc_id, place, c FROM e JOIN cls ON cls.b = ascii(ch)),
+q AS (SELECT doc_id, c, coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY place), 1) AS before FROM k),
+n AS (SELECT q.doc_id, max((v = 0)::INT) AS bad, sum((v = 1)::INT)::DOUBLE AS f1, sum((v = 2)::INT)::DOUBLE + {prior}e0 AS f2, sum((v = 3)::INT)::DOUBLE AS f3
+      FROM q JOIN mdl ON mdl.a = q.before AND mdl.b = q.c GROUP BY q.doc_id)
+SELECT d.doc_id, CASE WHEN bad = 1 THEN 0.01e0 WHEN bad IS NULL THEN 0e0 ELSE greatest((f3 - f1 * 20e0) / (f1 + f2 + f3), 0e0) * 0.73e0 END AS confidence
+FROM documents d LEFT JOIN n USING (doc_id)"""
+
+
+@query(_western_sql(latin1_classes(), 0))
+def q_latin1_conf(spark, sf_dir):
+    return _western(spark, sf_dir, latin1_classes(), 0)
+
+
+@query(_western_sql(macroman_classes(), 10))
+def q_macroman_conf(spark, sf_dir):
+    return _western(spark, sf_dir, macroman_classes(), 10)
+
+
+def _wide_sql(name: str) -> str:
+    plain = "NOT regexp_matches(coalesce(text, ''), '[^\\x01-\\xff]') AND length(coalesce(text, '')) >= 20"
+    return f"SELECT doc_id, '{name}' AS encoding, 0.85e0 AS confidence, '' AS language FROM documents WHERE {plain}"
+
+
+def _wide(charset: str):
+    def f(spark, sf_dir):
+        docs = _docs(spark, sf_dir).where(~F.coalesce("text", F.lit("")).rlike(r"[^\x01-\xff]") & (F.length("text") >= 20))
+        return detect(docs.select("doc_id", F.encode("text", charset).alias("content"))).select("doc_id", "detected.*")
+
+    return f
+
+
+for _name, _charset in (("utf-16le", "UTF-16LE"), ("utf-16be", "UTF-16BE")):
+    query(_wide_sql(_name), f"q_utf16_detect_{_name[-2:]}")(_wide(_charset))
+query(_wide_sql("utf-32be"), "q_utf32_detect")(_wide("UTF-32"))
+
+
+@query(r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ISO-2022-JP' WHEN 1 THEN 'ISO-2022-KR' WHEN 2 THEN 'HZ-GB-2312' END AS encoding,
+CASE WHEN doc_id % 4 = 3 THEN 0e0 ELSE 0.99e0 END AS confidence, CASE doc_id % 4 WHEN 0 THEN 'Japanese' WHEN 1 THEN 'Korean' WHEN 2 THEN 'Chinese' END AS language
+FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x01-\x7f]|[\x0e\x0f\x1b]|~')""")
+def q_esc_detect(spark, sf_dir):
+    """Plain texts behind escape sequences; the last of the four is none."""
+    marks = F.array(*[F.lit(m) for m in (b"\x1b$B", b"\x1b$)C", b"~{VPND~}", b"\x1b!")])
+    plain = _docs(spark, sf_dir).where(~F.coalesce("text", F.lit("")).rlike(r"[^\x01-\x7f]|[\x0e\x0f\x1b]|~"))
+    docs = plain.select("doc_id", F.concat(F.get(marks, F.pmod("doc_id", F.lit(4)).cast("int")), F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("content"))
+    return detect(docs).select("doc_id", "detected.*")
+
+
+@query(r"SELECT doc_id, NULL::VARCHAR AS encoding, 0e0 AS confidence, NULL::VARCHAR AS language FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x01-\x7f]|[\x0e\x0f\x1b]|~')")
+def q_esc_unresolved(spark, sf_dir):
+    plain = _docs(spark, sf_dir).where(~F.coalesce("text", F.lit("")).rlike(r"[^\x01-\x7f]|[\x0e\x0f\x1b]|~"))
+    docs = plain.select("doc_id", F.concat(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), F.lit(b"\x1b")).alias("content"))
+    return detect(docs).select("doc_id", "detected.*")
+
+
+def _prefix(charset: str):
+    def f(spark, sf_dir):
+        return _latin(spark, sf_dir).select("doc_id", F.length(G.legal_prefix(L(), charset)).cast("long").alias("n"))
+
+    return f
+
+
+for _charset in G.GRAMMAR:
+    if _charset != "utf-8":
+        _one, _more = G.GRAMMAR[_charset]
+        _sql = f"SELECT doc_id, length(regexp_extract({_TEXT}, '^(?:{_one}|{_more})*'))::BIGINT AS n FROM documents"
+        query(_sql, "q_legal_prefix_" + _charset.lower().replace("-", "").replace("_", ""))(_prefix(_charset))
+
+
+def _tokens_sql() -> str:
+    parts = []
+    for c, (one, more) in G.GRAMMAR.items():
+        if c == "utf-8":
+            continue
+        chars = f"regexp_extract_all(regexp_extract({_TEXT}, '^(?:{one}|{more})*'), '{one}|{more}')"
+        parts.append(f"SELECT '{c}' AS charset, hex(encode(token)) AS token FROM (SELECT unnest({chars}) AS token FROM documents) WHERE length(token) = 2")
+    return "SELECT charset, token, count(*)::BIGINT AS cnt FROM (" + " UNION ALL ".join(parts) + ") GROUP BY charset, token"
+
+
+@query(_tokens_sql())
+def q_mb_tokens(spark, sf_dir):
+    docs = _latin(spark, sf_dir).select(F.array(*[F.struct(F.lit(c).alias("charset"), G.two_byte_tokens(G.legal_prefix(L(), c), c).alias("tokens")) for c in G.GRAMMAR if c != "utf-8"]).alias("all"))
+    each = docs.select(F.explode("all").alias("x")).select("x.charset", F.explode("x.tokens").alias("t"))
+    return each.groupBy("charset", F.hex(F.col("t").cast("binary")).alias("token")).agg(F.count("*").alias("cnt"))
+
+
+_FINAL, _OTHER = r"[\xea\xed\xef\xf3\xf5]", r"[\xeb\xee\xf0\xf4]"
+_RUNS = rf"regexp_replace({_TEXT}, '[\x00-\x7f]+', ' ', 'g')"
+
+
+@query(rf"""WITH h AS (SELECT doc_id, {_RUNS} AS h FROM documents), w AS (SELECT doc_id, h, string_split(h, ' ') AS ws FROM h)
+SELECT doc_id, len(list_filter(ws[1:len(ws) - 1], lambda x: length(x) >= 2 AND regexp_matches(x, '{_FINAL}$')))::BIGINT AS logical,
+(len(list_filter(ws[1:len(ws) - 1], lambda x: length(x) >= 2 AND regexp_matches(x, '{_OTHER}$')))
+ + len(list_filter(ws, lambda x: length(x) >= 2 AND regexp_matches(x, '^{_FINAL}'))))::BIGINT AS visual FROM w""")
+def q_hebrew_scores(spark, sf_dir):
+    h = B.high_byte_only(L())
+    logical = F.regexp_count(h, F.lit(f"[^ ]{_FINAL} "))
+    visual = F.regexp_count(h, F.lit(f"[^ ]{_OTHER} ")) + F.regexp_count(h, F.lit(f"(?<![^ ]){_FINAL}(?=[^ ])"))
+    return _latin(spark, sf_dir).select("doc_id", logical.cast("long").alias("logical"), visual.cast("long").alias("visual"))
+
+
+@query(f"SELECT doc_id, 'utf-8' AS encoding, {_CONF} AS confidence FROM documents WHERE {_MB} >= 5 AND NOT {_ODD}")
+def q_detect_all_utf8(spark, sf_dir):
+    docs = _utf8(spark, sf_dir).where(~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5))
+    each = detect_all(docs).select("doc_id", F.explode("candidates").alias("c"))
+    return each.where("c.encoding = 'utf-8'").select("doc_id", "c.encoding", "c.confidence")
+
+
+_NAMES = sorted({*ISO_TO_WINDOWS, *LEGACY, "utf-8", "KOI8-R", "Big5", "ISO-8859-15"})
+
+
+def _case(table: dict, column: str) -> str:
+    return "CASE lower(" + column + ") " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {column} END"
+
+
+@query(
+    "WITH c(name) AS (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + "), w(win) AS (VALUES (true), (false)), "
+    f"r AS (SELECT name, win, CASE WHEN win AND starts_with(lower(name), 'iso-8859') THEN {_case(ISO_TO_WINDOWS, 'name')} ELSE name END AS plain FROM c, w) "
+    f"SELECT name, win, plain, {_case(LEGACY, 'plain')} AS legacy FROM r"
+)
+def q_renames(spark, sf_dir):
+    names = spark.createDataFrame([(n, w) for n in _NAMES for w in (True, False)], "name string, win boolean")
+    return names.select("name", "win", renamed(F.col("name"), F.col("win")).alias("plain"), renamed(F.col("name"), F.col("win"), True).alias("legacy"))
+
+
+@query()
+def q_detect(spark, sf_dir):
+    """The flagship: every document's encoding, confidence and language."""
+    return detect(_utf8(spark, sf_dir)).select("doc_id", "detected.*")
+
+
+@query()
+def q_detect_latin1(spark, sf_dir):
+    return detect(_latin(spark, sf_dir)).select("doc_id", "detected.*")
+
+
+@query()
+def q_detect_all(spark, sf_dir):
+    each = detect_all(_latin(spark, sf_dir)).select("doc_id", F.posexplode("candidates").alias("place", "c"))
+    return each.select("doc_id", "place", "c.*")
+
+
+@query()
+def q_prober_scores(spark, sf_dir):
+    return explain_probers(_latin(spark, sf_dir), "doc_id")
+
+
+_CHATS = "(SELECT conv_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+
+
+@query(_SURE.replace("doc_id, lang,", "conv_id,").replace("FROM documents", f"FROM {_CHATS}"))
+def q_conversation_detect(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
+    whole = per.select("conv_id", F.array_join(F.transform("all", lambda x: F.concat(x["t"], F.lit("\n"))), "").cast("binary").alias("content"))
+    sure = whole.where((~B.has_high_byte(L()) & ~B.has_escape(L())) | (~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5) & ~L().contains("~{")))
+    return detect(sure).select("conv_id", "detected.*")
+
+
+@query(_SURE.replace("doc_id, lang,", "page_id,").replace("text", "html").replace("FROM documents", "FROM pages"))
+def q_page_detect(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("content"))
+    sure = pages.where((~B.has_high_byte(L()) & ~B.has_escape(L())) | (~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5) & ~L().contains("~{")))
+    return detect(sure).select("page_id", "detected.*")
+
+
+@query()
+def q_stream_chunks(spark, sf_dir):
+    """Turns of a conversation as the chunks of a document."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return detect_chunks(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("text").cast("binary").alias("chunk")))
+
+
+@query()
+def q_cli_report(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("content"))
+    return report(pages.dropDuplicates(["path"]))

@@ -1,0 +1,49 @@
+from pyspark.sql import functions as F
+
+from octetlens.operators.models import train_pack
+from octetlens.sources.files import detect_files, labelled_corpus, report
+from octetlens.streaming.incremental import detect_chunks, detect_stream
+
+EMPTY = train_pack({})
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "ascii").mkdir()
+    (tmp_path / "iso-8859-7-greek").mkdir()
+    (tmp_path / "ascii" / "a.txt").write_bytes(b"plain\n")
+    (tmp_path / "iso-8859-7-greek" / "b.xml").write_bytes("é\né\né\n".encode() * 3)
+    (tmp_path / "ascii" / "skip.bin").write_bytes(b"\xff")
+    got = {r.path.rsplit("/", 1)[1]: r.encoding for r in detect_files(spark, str(tmp_path / "ascii"), str(tmp_path / "iso-8859-7-greek")).collect()}
+    assert got["a.txt"] == "ascii" and got["b.xml"] == "utf-8"
+    corpus = labelled_corpus(spark, str(tmp_path))
+    assert {r.expected for r in corpus.collect()} == {"ascii", "iso-8859-7"}
+    lines = {r.name.rsplit("/", 1)[1]: r.line for r in report(corpus).collect()}
+    assert lines["a.txt"].endswith("a.txt: ascii with confidence 1.0") and "utf-8 with confidence" in lines["b.xml"]
+    assert {r.line for r in report(corpus, minimal=True).collect()} == {"ascii", "utf-8"}
+
+
+def test_chunk_table(spark):
+    rows = [(1, 1, b"\xa9 b"), (1, 0, b"\xc3"), (2, 0, b"abc"), (3, 0, None)]
+    df = spark.createDataFrame([(a, b, bytearray(c) if c else None) for a, b, c in rows], "doc_id long, seq long, chunk binary")
+    got = {r.doc_id: r for r in detect_chunks(df, pack=EMPTY).collect()}
+    assert got[2].encoding == "ascii" and got[3].encoding is None and got[1].n_chunks == 2
+
+
+def test_stream(spark, tmp_path):
+    source = tmp_path / "in"
+    schema = "doc_id long, seq long, chunk binary, is_last boolean"
+    first = [(1, 0, bytearray("é".encode() * 4), False), (2, 0, bytearray(b"\xef\xbb\xbfx"), True)]
+    second = [(1, 1, bytearray("é".encode() * 4), True)]
+    stream = detect_stream(spark.readStream.schema(schema).parquet(str(source)), pack=EMPTY) if source.exists() else None
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = detect_stream(spark.readStream.schema(schema).parquet(str(source)), pack=EMPTY)
+    q = stream.writeStream.format("memory").queryName("answers").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        assert [tuple(r)[:2] for r in spark.table("answers").collect()] == [(2, "UTF-8-SIG")]
+        spark.createDataFrame(second, schema).coalesce(1).write.mode("append").parquet(str(source))
+        q.processAllAvailable()
+        rows = {r.doc_id: r for r in spark.table("answers").collect()}
+        assert rows[1].encoding == "utf-8" and rows[1].n_chunks == 2
+    finally:
+        q.stop()
