@@ -1,7 +1,7 @@
 """Detection of documents that arrive in chunks: a stateful operator of Structured Streaming.
 
 State is one detector for each document. Chunks of a batch are fed in the order of ``seq``; the row that is marked last, or
-a time-out, closes the document and emits its answer. Chunk boundaries matter: see Detector.
+a time-out if one is set, closes the document and emits its answer. Chunk boundaries matter: see Detector.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from ..operators.models import Pack, builtin_pack
 ANSWER = "doc_id long, encoding string, confidence double, language string, n_chunks long"
 
 
-def _step(pack: Pack, lang_filter: int, rename_legacy: bool, timeout_ms: int):
+def _step(pack: Pack, lang_filter: int, rename_legacy: bool, timeout_ms: int | None):
     def step(key, frames, state: GroupState):
         detector, n = (pickle.loads(state.get[0]), state.get[1]) if state.exists else (Detector(lang_filter, rename_legacy), 0)
         last = state.hasTimedOut
@@ -36,17 +36,21 @@ def _step(pack: Pack, lang_filter: int, rename_legacy: bool, timeout_ms: int):
             yield pd.DataFrame([(key[0], *detector.close(pack), n)], columns=["doc_id", "encoding", "confidence", "language", "n_chunks"])
             return
         state.update((pickle.dumps(detector), n))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([], columns=["doc_id", "encoding", "confidence", "language", "n_chunks"])
 
     return step
 
 
-def detect_stream(chunks: DataFrame, lang_filter: int = ALL, rename_legacy: bool = False, pack: Pack | None = None, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Of a stream (doc_id, seq, chunk, is_last): one row for each closed document."""
+def detect_stream(chunks: DataFrame, lang_filter: int = ALL, rename_legacy: bool = False, pack: Pack | None = None, timeout_ms: int | None = None) -> DataFrame:
+    """Of a stream (doc_id, seq, chunk, is_last): one row for each closed document.
+
+    With ``timeout_ms`` a document that gets no chunk for so long is closed too; the query then never runs out of work.
+    """
     pack = pack or builtin_pack(chunks.sparkSession)
     picked = chunks.select(F.col("doc_id").cast("long"), "seq", "chunk", "is_last")
-    return picked.groupBy("doc_id").applyInPandasWithState(_step(pack, lang_filter, rename_legacy, timeout_ms), ANSWER, "detector binary, n long", "append", "ProcessingTimeTimeout")
+    return picked.groupBy("doc_id").applyInPandasWithState(_step(pack, lang_filter, rename_legacy, timeout_ms), ANSWER, "detector binary, n long", "append", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
 
 
 def detect_chunks(chunks: DataFrame, lang_filter: int = ALL, rename_legacy: bool = False, pack: Pack | None = None) -> DataFrame:

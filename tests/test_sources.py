@@ -34,7 +34,6 @@ def test_stream(spark, tmp_path):
     schema = "doc_id long, seq long, chunk binary, is_last boolean"
     first = [(1, 0, bytearray("é".encode() * 4), False), (2, 0, bytearray(b"\xef\xbb\xbfx"), True)]
     second = [(1, 1, bytearray("é".encode() * 4), True)]
-    stream = detect_stream(spark.readStream.schema(schema).parquet(str(source)), pack=EMPTY) if source.exists() else None
     spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(str(source))
     stream = detect_stream(spark.readStream.schema(schema).parquet(str(source)), pack=EMPTY)
     q = stream.writeStream.format("memory").queryName("answers").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
