@@ -23,7 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.pmod(crc_of_id(), F.lit(4)) == 2, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = train_toxicity(docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id"))
-    return score_toxicity(docs, model, THRESHOLD, keep=True).where("predicted = 0").select(*docs.columns)
+    scored = score_toxicity(docs.withColumn("_all", F.struct(*docs.columns)).select("_all", "text"), model, THRESHOLD, keep=True)
+    return scored.where("predicted = 0").select("_all.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,35 +22,43 @@ class ProductCode:
     """Random directions for each block of dimensions; filters are their combinations.
 
     ``height`` is the threshold in standard deviations of a random direction: a random vector exceeds a filter with
-    probability about 1 - Phi(height), and falls into that share of code_size ** blocks filters.
+    probability about 1 - Phi(height), and falls into that share of code_size ** blocks filters. A vector that exceeds fewer
+    than ``most_needed`` falls into its best filters of that number, so that none is left with few chances to be met.
     """
 
-    def __init__(self, dims: int, blocks: int = 2, code_size: int = 128, height: float = 3.0, seed: int = 5):
+    def __init__(self, dims: int, blocks: int = 2, code_size: int = 128, height: float = 3.0, most_needed: int = 24, seed: int = 5):
         self.cuts = np.linspace(0, dims, blocks + 1).astype(int)
         rng = np.random.Generator(np.random.PCG64(seed))
         self.code = [self._unit(rng.standard_normal((code_size, b - a))) / np.sqrt(blocks) for a, b in zip(self.cuts, self.cuts[1:])]
-        self.size, self.least = code_size, height / np.sqrt(dims)
+        self.size, self.least, self.step, self.needed = code_size, height / np.sqrt(dims), 0.25 / np.sqrt(dims), min(most_needed, code_size**blocks)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
     def decode(self, unit: np.ndarray) -> np.ndarray:
-        """All filters of one unit vector, ascending; its best filter at least."""
-        rest = [c @ unit[a:b] for c, a, b in zip(self.code, self.cuts, self.cuts[1:])]
-        # Partial choices survive while the best of the blocks to come can still lift them over the threshold.
-        best = np.append(np.cumsum([r.max() for r in rest][::-1])[::-1], 0.0)
-        least = min(self.least, best[0] - 1e-9)
+        """All filters of one unit vector, ascending."""
+        inner = [c @ unit[a:b] for c, a, b in zip(self.code, self.cuts, self.cuts[1:])]
+        least = self.least
+        number, height = self._above(inner, least)
+        while len(number) < self.needed:
+            least -= self.step
+            number, height = self._above(inner, least)
+        if least < self.least:
+            number = number[height >= np.partition(height, -self.needed)[-self.needed]]
+        return np.sort(number)
+
+    def _above(self, inner: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Filters of that height: partial choices survive while the best of the blocks to come can still lift them."""
+        best = np.append(np.cumsum([r.max() for r in inner][::-1])[::-1], 0.0)
         number, height = np.zeros(1, np.int64), np.zeros(1)
-        for k, r in enumerate(rest):
+        for k, r in enumerate(inner):
             order = np.argsort(-r)
-            need = least - best[k + 1] - height
-            take = np.searchsorted(-r[order], -need, side="right")
+            take = np.searchsorted(-r[order], -(least - best[k + 1] - height), side="right")
             which = np.repeat(np.arange(len(number)), take)
-            at = np.arange(len(which)) - np.repeat(np.cumsum(take) - take, take)
-            code = order[at]
+            code = order[np.arange(len(which)) - np.repeat(np.cumsum(take) - take, take)]
             number, height = number[which] * self.size + code, height[which] + r[code]
-        return np.sort(number)
+        return number, height
 
 
 def _filters(code: dict):

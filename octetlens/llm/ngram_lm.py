@@ -211,7 +211,8 @@ def score_corpus(docs: DataFrame, held_out: Column, mu: float = 100.0, id_col: s
 
     Per document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score), log10 probabilities of the words and
     one end; ``base_score`` is that of words alone with one added to each count. A null text is empty: an end alone. A null
-    ``held_out`` counts as false. Without any training document every word is unknown.
+    ``held_out`` counts as false. Without any training document every word is unknown. The discount is n1 / (n1 + 2 n2) of
+    the words that occur once and twice, between 0.01 and 0.99.
     """
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).cast("int").alias("held"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))

@@ -183,7 +183,7 @@ def train_toxicity(
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, keep: bool = False) -> DataFrame:
-    """For every document: (id, score, predicted), or with ``keep`` all its columns and these.
+    """For every document: (id, score, predicted), or with ``keep`` all its columns and these, in place of any of that name.
 
     Empty and null texts get the score of a text without words.
     """
@@ -198,6 +198,6 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
 
     picked = docs if keep else docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
     if keep:
-        picked = docs.withColumn("_text", F.col(text_col))
+        picked = docs.drop("score", "predicted").withColumn("_text", F.col(text_col))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "_text"]
     return picked.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
