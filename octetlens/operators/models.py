@@ -63,10 +63,16 @@ class Pack:
 
 
 def single_byte_model(charset: str, codec: str, language: str, keep_ascii: bool, words: list[str]) -> SingleByteModel:
-    """Ranks letters and pairs of letters of the words, and sees them through a charset's bytes."""
-    letters = Counter(c for w in words for c in w if c.isalpha() and (keep_ascii or not c.isascii()) or _mark(c))
-    frequent = {c for c, _ in letters.most_common(LETTERS - 1)}
-    pairs = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1) if w[i] in frequent and w[i + 1] in frequent)
+    """A model from the words of a language."""
+    pairs = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
+    return ranked_model(charset, codec, language, keep_ascii, Counter(c for w in words for c in w), pairs)
+
+
+def ranked_model(charset: str, codec: str, language: str, keep_ascii: bool, counts: Counter, followed: Counter) -> SingleByteModel:
+    """Ranks letters and pairs of letters by their counts, and sees them through a charset's bytes."""
+    letters = {c: n for c, n in counts.items() if c.isalpha() and (keep_ascii or not c.isascii()) or _mark(c)}
+    frequent = {c for c, _ in Counter(letters).most_common(LETTERS - 1)}
+    pairs = {p: n for p, n in followed.items() if p[0] in frequent and p[1] in frequent}
     ranked = [p for p, _ in sorted(pairs.items(), key=lambda x: (-x[1], x[0]))]
     kind = {p: 3 if k < FREQUENT else 2 if k < 2 * FREQUENT else 1 for k, p in enumerate(ranked)}
     covered = sum(pairs[p] for p in ranked[:FREQUENT]) / max(1, sum(pairs.values()))

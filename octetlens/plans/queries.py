@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import bytesx as B
 from ..functions import grammar as G
+from ..functions.languages import LANGUAGES, catalogue
 from ..functions.renames import ISO_TO_WINDOWS, LEGACY, renamed
 from ..operators.classes import class_model, latin1_classes, macroman_classes
-from ..sources.files import report
+from ..operators.training import count_units, rank_pairs
+from ..sources.files import detect_files, report
 from ..streaming.incremental import detect_chunks
 from .detect import detect, detect_all, explain_probers, utf8_chars, utf8_confidence
 
@@ -385,3 +387,55 @@ def q_stream_chunks(spark, sf_dir):
 def q_cli_report(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("content"))
     return report(pages.dropDuplicates(["path"]))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _languages_sql() -> str:
+    rows = ", ".join(f"({_quoted(n)}, {_quoted(i)}, {a}, {_quoted(' '.join(c))}, {_quoted(x)})" for n, i, a, c, x, _ in LANGUAGES)
+    return f"""(SELECT name, iso_code, use_ascii, charsets, array_to_string(list_sort(list_distinct(regexp_extract_all(
+letters || CASE WHEN use_ascii THEN 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ' ELSE '' END, '(?s).'))), '') AS alphabet
+FROM (VALUES {rows}) v(name, iso_code, use_ascii, charsets, letters))"""
+
+
+@query(f"SELECT *, length(alphabet)::BIGINT AS n_letters FROM {_languages_sql()}")
+def q_languages(spark, sf_dir):
+    languages = catalogue(spark).withColumn("charsets", F.array_join("charsets", " "))
+    return languages.select("name", "iso_code", "use_ascii", "charsets", "alphabet", F.length("alphabet").cast("long").alias("n_letters"))
+
+
+_UNITS = rf"""l AS (SELECT DISTINCT iso_code, unnest(regexp_extract_all(lower(alphabet), '(?s).')) AS letter FROM {_languages_sql()}),
+w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}ʼ]+')) AS w FROM documents WHERE lang IS NOT NULL),
+u AS (SELECT lang, substr(w, i, 1) AS a, substr(w, i + 1, 1) AS b FROM (SELECT lang, w, unnest(range(1, length(w) + 1)) AS i FROM w)),
+c AS (SELECT lang, a || coalesce(y.letter, '') AS unit, count(*)::BIGINT AS cnt FROM u JOIN l x ON x.iso_code = lang AND x.letter = a
+LEFT JOIN l y ON y.iso_code = lang AND y.letter = b GROUP BY ALL)"""
+
+
+@query(f"WITH {_UNITS} SELECT lang AS iso_code, unit, cnt FROM c")
+def q_letter_units(spark, sf_dir):
+    """Letters and pairs of letters by language: what models are trained from."""
+    return count_units(_docs(spark, sf_dir))
+
+
+@query(f"""WITH {_UNITS}, r AS (SELECT lang AS iso_code, unit AS pair, cnt, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, unit)::INT AS place FROM c WHERE length(unit) = 2)
+SELECT *, CASE WHEN place <= 512 THEN 3 WHEN place <= 1024 THEN 2 ELSE 1 END AS category FROM r""")
+def q_pair_ranks(spark, sf_dir):
+    return rank_pairs(count_units(_docs(spark, sf_dir)))
+
+
+@query()
+def q_sb_scores(spark, sf_dir):
+    return explain_probers(_latin(spark, sf_dir), "doc_id").where("grp = 'sb'")
+
+
+@query()
+def q_mb_scores(spark, sf_dir):
+    return explain_probers(_latin(spark, sf_dir), "doc_id").where("grp = 'mb'")
+
+
+@query()
+def q_detect_files(spark, sf_dir):
+    """Files as they lie: a Parquet file is no text, but bytes to look at."""
+    return detect_files(spark, f"{sf_dir}/[nr]*.parquet")
