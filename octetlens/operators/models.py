@@ -1,13 +1,18 @@
 """Language models of the statistical probers: a pack of plain arrays that can be replaced.
 
-The built-in pack is trained from the names of languages and countries that every Java runtime carries for its locales.
-It is small: structure and formulas of the probers don't depend on it, numbers of their confidences do.
+The built-in pack is trained from the names that every Java runtime carries for its locales and, where its file is at hand,
+from the vocabulary of a tokenizer for many languages, whose order tells how frequent a piece is. Structure and formulas
+of the probers don't depend on the pack, numbers of their confidences do.
 """
 
 from __future__ import annotations
 
+import base64
+import importlib.util
 import pickle
+import re
 from collections import Counter
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,6 +46,26 @@ MULTI_BYTE = {
 }
 #: How many characters and pairs count as frequent; letters beyond LETTERS have no pairs.
 FREQUENT, LETTERS = 512, 64
+#: Share of a language's pairs that its frequent ones cover; how frequent one must be against the contrast of other languages.
+COVER, ODDS = 0.97, 0.6
+#: Weight of each word once more with a capital, as at the beginning of a sentence.
+CAPITAL = 0.15
+#: locale -> (its letters, the vocabulary's share beside names, letters one of which a piece must hold, letters it must not).
+SCRIPTS = {
+    "ru": ("А-яЁё", 0.8, "", ""),
+    "bg": ("А-я", 0.3, "", "ЫЭЁыэё"),
+    "el": ("Ά-ώ", 0.6, "", ""),
+    "th": ("ก-๛", 0.6, "", ""),
+    "tr": ("A-Za-zÇĞİÖŞÜçğıöşü", 0.3, "ĞİŞğış", ""),
+    "he": ("א-תְ-ׇ", 0.6, "", ""),
+    "ja": ("ぁ-んァ-ヶ一-龥ー、。・「」", 0.9, "", ""),
+    "zh-CN": ("一-龥", 0.9, "", ""),
+    "zh-TW": ("一-龥", 0.9, "", ""),
+    "ko": ("가-힣", 0.8, "", ""),
+}
+#: A tokenizer's vocabulary for many languages: base64 of a piece and its rank in each line.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+Words = Mapping[str, float] | Iterable[str]
 
 
 @dataclass
@@ -62,21 +87,62 @@ class Pack:
     kana: np.ndarray = field(default_factory=lambda: np.zeros((83, 83), np.int8))
 
 
-def single_byte_model(charset: str, codec: str, language: str, keep_ascii: bool, words: list[str]) -> SingleByteModel:
-    """A model from the words of a language."""
-    pairs = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
-    return ranked_model(charset, codec, language, keep_ascii, Counter(c for w in words for c in w), pairs)
+def held_out_share(words: Counter, contrast: Mapping[str, float] | None = None) -> float:
+    """The share of frequent pairs, likely ones by a quarter, in words that the ranks weren't made from; 1 without pairs."""
+    folds, hit = [Counter(), Counter(), Counter(), Counter()], 0.0
+    for k, w in enumerate(sorted(words)):
+        folds[k % 4][w] = words[w]
+    for fold in folds:
+        kind = categories(_pairs(words - fold), COVER, contrast)
+        hit += sum(n * {3: 1.0, 2: 0.25}.get(kind.get(p, 0), 0.0) for p, n in _pairs(fold).items())
+    return hit / sum(_pairs(words).values()) if hit else 1.0
+
+
+def _letters(words: Counter) -> Counter:
+    out = Counter()
+    for w, n in words.items():
+        for c in w:
+            out[c] += n
+    return out
+
+
+def _pairs(words: Counter) -> Counter:
+    out = Counter()
+    for w, n in words.items():
+        for i in range(len(w) - 1):
+            out[w[i : i + 2]] += n
+    return out
 
 
-def ranked_model(charset: str, codec: str, language: str, keep_ascii: bool, counts: Counter, followed: Counter) -> SingleByteModel:
-    """Ranks letters and pairs of letters by their counts, and sees them through a charset's bytes."""
+def categories(pairs: Mapping[str, float], cover: float = 1.0, contrast: Mapping[str, float] | None = None) -> dict[str, int]:
+    """3 for the frequent pairs, up to FREQUENT or the share ``cover``, 2 for the next ones, 1 for the rest.
+
+    A pair that is much rarer here than in the shares ``contrast`` isn't called frequent.
+    """
+    total, before, out = sum(pairs.values()), 0.0, {}
+    for k, p in enumerate(sorted(pairs, key=lambda p: (-pairs[p], p))):
+        own = contrast is None or pairs[p] >= ODDS * contrast.get(p, 0.0) * total
+        often = k < FREQUENT and (cover >= 1 or before < cover * total)
+        out[p] = 3 if often and own else 2 if k < 2 * FREQUENT else 1
+        before += pairs[p]
+    return out
+
+
+def ranked_model(
+    charset: str, codec: str, language: str, keep_ascii: bool, counts: Counter, followed: Counter,
+    cased: bool = False, cover: float = 1.0, contrast: Mapping[str, float] | None = None,
+) -> SingleByteModel:
+    """Ranks letters and pairs of letters by their counts, and sees them through a charset's bytes.
+
+    Unless ``cased``, counts are of lower-case letters, and capitals stand for these.
+    """
     letters = {c: n for c, n in counts.items() if c.isalpha() and (keep_ascii or not c.isascii()) or _mark(c)}
     frequent = {c for c, _ in Counter(letters).most_common(LETTERS - 1)}
     pairs = {p: n for p, n in followed.items() if p[0] in frequent and p[1] in frequent}
-    ranked = [p for p, _ in sorted(pairs.items(), key=lambda x: (-x[1], x[0]))]
-    kind = {p: 3 if k < FREQUENT else 2 if k < 2 * FREQUENT else 1 for k, p in enumerate(ranked)}
-    covered = sum(pairs[p] for p in ranked[:FREQUENT]) / max(1, sum(pairs.values()))
-    chars = [bytes([b]).decode(codec, "replace").lower()[:1] for b in range(256)]
+    kind = categories(pairs, cover, contrast)
+    covered = sum(pairs[p] for p in pairs if kind[p] == 3) / max(1, sum(pairs.values()))
+    decoded = [bytes([b]).decode(codec, "replace") for b in range(256)]
+    chars = [c[:1] if cased else c.lower()[:1] for c in decoded]
     is_char = np.array([c.isalpha() or _mark(c) for c in chars])
     is_freq = np.array([c in frequent for c in chars])
     category = np.array([[kind.get(a + b, 0) for b in chars] for a in chars], np.int8)
@@ -88,23 +154,28 @@ def _mark(c: str) -> bool:
     return "ั" <= c <= "๎" or "ְ" <= c <= "ׇ"
 
 
-def train_pack(corpora: dict[str, list[str]]) -> Pack:
-    """A pack from words by locale; locales without words give models that recognise nothing."""
-    lower = {k: [w.lower() for w in v] for k, v in corpora.items()}
-    single = [single_byte_model(name, codec, language, keep, lower.get(locale, [])) for name, codec, language, locale, keep in SINGLE_BYTE]
-    pack = Pack(single)
+def train_pack(corpora: Mapping[str, Words], contrast: Mapping[str, float] | None = None) -> Pack:
+    """A pack from words, or weights of words, by locale; locales without words give models that recognise nothing.
+
+    ``contrast`` holds shares of pairs of letters in other languages, for models that count ASCII letters.
+    """
+    corpora = {k: Counter(v) for k, v in corpora.items()}
+    pack, ratios = Pack([]), {}
+    for name, codec, language, locale, keep in SINGLE_BYTE:
+        words, against = corpora.get(locale, Counter()), contrast if keep else None
+        model = ranked_model(name, codec, language, keep, _letters(words), _pairs(words), True, COVER, against)
+        if locale not in ratios:
+            ratios[locale] = held_out_share(words, against)
+        model.ratio = ratios[locale]
+        pack.single.append(model)
     for charset, (codec, locale, ratio) in MULTI_BYTE.items():
-        counts = Counter(c for w in corpora.get(locale, []) for c in w if not c.isascii())
-        coded = [encoded(c, codec) for c, _ in counts.most_common()]
+        counts = _letters(corpora.get(locale, Counter()))
+        coded = [encoded(c, codec) for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if not c.isascii()]
         pack.frequent[charset] = set([c for c in coded if c is not None and len(c) == 2][:FREQUENT])
         pack.ratio[charset] = ratio
-    kana = Counter()
-    for w in corpora.get("ja", []):
-        for a, b in zip(w, w[1:]):
-            if "ぁ" <= a <= "ん" and "ぁ" <= b <= "ん":
-                kana[ord(a) - 0x3041, ord(b) - 0x3041] += 1
-    for k, (pair, _) in enumerate(kana.most_common()):
-        pack.kana[pair] = max(1, 5 - k // 64)
+    kana = {p: n for p, n in _pairs(corpora.get("ja", Counter())).items() if "ぁ" <= min(p) and max(p) <= "ん"}
+    for k, (a, b) in enumerate(sorted(kana, key=lambda p: (-kana[p], p))):
+        pack.kana[ord(a) - 0x3041, ord(b) - 0x3041] = max(1, 5 - k // 64)
     return pack
 
 
@@ -120,22 +191,73 @@ def encoded(c: str, codec: str | None) -> bytes | None:
     return bytes([0xC4 + order // 94, 0xA1 + order % 94]) if 0 <= order < 94 * 59 else None
 
 
-_built: list[Pack] = []
+def vocabulary_pieces(path: str) -> list[str]:
+    """Pieces of a vocabulary by rank; empty where bytes aren't whole characters."""
+    with open(path, "rb") as lines:
+        return [base64.b64decode(x.split()[0]).decode("utf-8", "ignore") for x in lines]
+
+
+def locale_names(spark, tag: str) -> set[str]:
+    """Names of languages, countries, currencies, time zones, months and days that the Java runtime has for a locale."""
+    jvm = spark._jvm
+    locale = jvm.java.util.Locale
+    shown = locale.forLanguageTag(tag)
+    names = [locale.forLanguageTag(x).getDisplayLanguage(shown) for x in locale.getISOLanguages()]
+    names += [locale("", x).getDisplayCountry(shown) for x in locale.getISOCountries()]
+    names += [x.getDisplayName(shown) for x in jvm.java.util.Currency.getAvailableCurrencies().toArray()]
+    names += [jvm.java.util.TimeZone.getTimeZone(x).getDisplayName(False, 1, shown) for x in jvm.java.util.TimeZone.getAvailableIDs() if "/" in x]
+    symbols = jvm.java.text.DateFormatSymbols.getInstance(shown)
+    return {*names, *symbols.getMonths(), *symbols.getWeekdays()}
+
+
+def blend(tag: str, names: Iterable[str], pieces: list[str]) -> Counter:
+    """Weights of a locale's words: each word of a name once, pieces by the inverse of their rank, in the shares of SCRIPTS."""
+    letters, share, needs, shuns = SCRIPTS[tag]
+    run = re.compile(f"[{letters}]+")
+    named, ranked = Counter(x for w in {w for n in names for w in n.split()} for x in run.findall(w)), Counter()
+    for k, piece in enumerate(pieces):
+        for x in () if piece.isascii() else run.findall(piece):
+            if not x.isascii() and (not needs or set(x) & set(needs)) and not set(x) & set(shuns):
+                ranked[x] += 1 / (k + 1)
+    out = Counter()
+    for words, part in ((named, 1 - share if ranked else 1.0), (ranked, share)):
+        total = sum(len(w) * n for w, n in words.items())
+        for w, n in words.items():
+            out[w] += n * part / total
+    for w, n in list(out.items()):
+        out[w[0].upper() + w[1:]] += CAPITAL * n
+    return out
+
+
+def latin_pairs(pieces: list[str]) -> dict[str, float] | None:
+    """Shares of pairs of letters of Western languages in the pieces of a vocabulary."""
+    words = Counter()
+    for k, piece in enumerate(pieces):
+        for x in re.findall("[A-Za-zÀ-ÖØ-öø-ÿ]+", piece):
+            words[x] += 1 / (k + 1)
+    pairs = _pairs(words)
+    total = sum(pairs.values())
+    return {p: n / total for p, n in pairs.items()} or None
+
+
+_built: dict[str | None, Pack] = {}
+
+
+def builtin_pack(spark, vocabulary: str | None = None) -> Pack:
+    """The pack trained from the Java runtime's names and a vocabulary, once in a process.
 
+    ``vocabulary`` is the path of a file as VOCABULARY; without one, that of the package of public tokenizers is taken if
+    the driver has it, and names alone otherwise.
+    """
+    if vocabulary is None and importlib.util.find_spec("public_tokenizers"):
+        import public_tokenizers
 
-def builtin_pack(spark) -> Pack:
-    """The pack trained from the Java runtime's locale names, once in a process."""
-    if not _built:
-        locale = spark._jvm.java.util.Locale
-        languages, countries = list(locale.getISOLanguages()), list(locale.getISOCountries())
-        corpora = {}
-        for tag in sorted({x[3] for x in SINGLE_BYTE} | {x[1] for x in MULTI_BYTE.values()}):
-            shown = locale.forLanguageTag(tag)
-            names = [locale.forLanguageTag(x).getDisplayLanguage(shown) for x in languages]
-            names += [locale("", x).getDisplayCountry(shown) for x in countries]
-            corpora[tag] = [w for name in names for w in name.split() if not w.isascii() or tag == "tr"]
-        _built.append(train_pack(corpora))
-    return _built[0]
+        vocabulary = public_tokenizers.path(VOCABULARY)
+    if vocabulary not in _built:
+        pieces = vocabulary_pieces(vocabulary) if vocabulary else []
+        corpora = {tag: blend(tag, locale_names(spark, tag), pieces) for tag in SCRIPTS}
+        _built[vocabulary] = train_pack(corpora, latin_pairs(pieces))
+    return _built[vocabulary]
 
 
 def save_pack(pack: Pack, path: str) -> None:
