@@ -197,15 +197,21 @@ def vocabulary_pieces(path: str) -> list[str]:
         return [base64.b64decode(x.split()[0]).decode("utf-8", "ignore") for x in lines]
 
 
-def locale_names(spark, tag: str) -> set[str]:
-    """Names of languages, countries, currencies, time zones, months and days that the Java runtime has for a locale."""
+def zone_ids(spark) -> list[str]:
+    """One time zone of each English name; others say nothing new in other languages either."""
+    zone, english = spark._jvm.java.util.TimeZone, spark._jvm.java.util.Locale.ENGLISH
+    return list({zone.getTimeZone(x).getDisplayName(False, 1, english): x for x in zone.getAvailableIDs() if "/" in x}.values())
+
+
+def locale_names(spark, tag: str, zones: Iterable[str] = ()) -> set[str]:
+    """Names of languages, countries, currencies, ``zones``, months and days that the Java runtime has for a locale."""
     jvm = spark._jvm
     locale = jvm.java.util.Locale
     shown = locale.forLanguageTag(tag)
     names = [locale.forLanguageTag(x).getDisplayLanguage(shown) for x in locale.getISOLanguages()]
     names += [locale("", x).getDisplayCountry(shown) for x in locale.getISOCountries()]
     names += [x.getDisplayName(shown) for x in jvm.java.util.Currency.getAvailableCurrencies().toArray()]
-    names += [jvm.java.util.TimeZone.getTimeZone(x).getDisplayName(False, 1, shown) for x in jvm.java.util.TimeZone.getAvailableIDs() if "/" in x]
+    names += [jvm.java.util.TimeZone.getTimeZone(x).getDisplayName(False, 1, shown) for x in zones]
     symbols = jvm.java.text.DateFormatSymbols.getInstance(shown)
     return {*names, *symbols.getMonths(), *symbols.getWeekdays()}
 
@@ -255,7 +261,8 @@ def builtin_pack(spark, vocabulary: str | None = None) -> Pack:
         vocabulary = public_tokenizers.path(VOCABULARY)
     if vocabulary not in _built:
         pieces = vocabulary_pieces(vocabulary) if vocabulary else []
-        corpora = {tag: blend(tag, locale_names(spark, tag), pieces) for tag in SCRIPTS}
+        zones, paired = zone_ids(spark), {x[3] for x in SINGLE_BYTE}
+        corpora = {tag: blend(tag, locale_names(spark, tag, zones if tag in paired else ()), pieces) for tag in SCRIPTS}
         _built[vocabulary] = train_pack(corpora, latin_pairs(pieces))
     return _built[vocabulary]
 
