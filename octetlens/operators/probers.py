@@ -309,6 +309,7 @@ class Hebrew:
 
 
 _VALUES = class_model()
+_CLASSES = {"ISO-8859-1": latin1_classes(), "MacRoman": macroman_classes()}
 
 
 class Western:
@@ -318,12 +319,11 @@ class Western:
 
     def __init__(self, charset: str):
         self.group = self.charset = charset
-        self.classes = latin1_classes() if charset == "ISO-8859-1" else macroman_classes()
         self.state, self.last = DETECTING, OTH
         self.counts = np.array([0, 0, 0 if charset == "ISO-8859-1" else 10, 0])
 
     def feed(self, streams: dict, pack: Pack) -> str:
-        c = self.classes[streams["tags"]]
+        c = _CLASSES[self.charset][streams["tags"]]
         if self.state == NOT_ME or not len(c):
             return self.state
         values = _VALUES[np.append(self.last, c[:-1]), c]

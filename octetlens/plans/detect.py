@@ -75,7 +75,11 @@ def detect(df: DataFrame, content: str = "content", lang_filter: int = ALL, rena
 
 
 def detect_all(df: DataFrame, content: str = "content", ignore_threshold: bool = False, rename_legacy: bool = False, pack: Pack | None = None, into: str = "candidates") -> DataFrame:
-    """Adds the array of all candidates above the threshold, best first; the one answer where there are none."""
+    """Adds the array of all candidates above the threshold, best first; the one answer where there are none.
+
+    Null only for a null byte string. Take them apart with ``explode_outer``: for ``explode`` the optimiser adds a filter
+    that has the probers run again.
+    """
     B.require_binary(df, content)
     pack = pack or builtin_pack(df.sparkSession)
 
@@ -93,11 +97,11 @@ def detect_all(df: DataFrame, content: str = "content", ignore_threshold: bool =
             yield pd.Series(out)
 
     probe.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    high = B.has_high_byte(B.latin(F.col(content)))
-    early = decided(F.col(content))
-    needs = high & B.bom_encoding(F.col(content)).isNull() | early.isNull()
-    found = df.withColumn("_all", F.pandas_udf(probe, f"array<{RESULT}>")(F.when(needs, F.col(content))))
-    return found.withColumn(into, F.when(F.col(content).isNotNull(), F.coalesce("_all", F.array(early)))).drop("_all")
+    known = df.withColumn("_early", decided(F.col(content)))
+    # Sure UTF-8 is an answer, but its other candidates have to be counted.
+    needs = F.col("_early").isNull() | (F.col("_early.encoding") == "utf-8")
+    found = known.withColumn("_all", F.pandas_udf(probe, f"array<{RESULT}>")(F.when(needs, F.col(content))))
+    return found.withColumn(into, F.when(F.col(content).isNotNull(), F.coalesce("_all", F.array("_early")))).drop("_early", "_all")
 
 
 def explain_probers(df: DataFrame, id_col: str, content: str = "content", pack: Pack | None = None) -> DataFrame:

@@ -348,7 +348,7 @@ def q_detect_latin1(spark, sf_dir):
 
 @query()
 def q_detect_all(spark, sf_dir):
-    each = detect_all(_latin(spark, sf_dir)).select("doc_id", F.posexplode("candidates").alias("place", "c"))
+    each = detect_all(_latin(spark, sf_dir)).select("doc_id", F.posexplode_outer("candidates").alias("place", "c"))
     return each.select("doc_id", "place", "c.*")
 
 

@@ -187,3 +187,13 @@ def test_explain_probers(spark):
     rows = explain_probers(df, "doc_id", pack=EMPTY).collect()
     assert len(rows) == 26 and {r.doc_id for r in rows} == {7}
     assert next(r for r in rows if r.charset == "utf-8").confidence == pytest.approx(0.505)
+
+
+def test_probers_run_once_and_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, bytearray(b"d\xe9j\xe0 vu")), (2, None)], "i int, content binary").write.parquet(path)
+    exploded = detect_all(spark.read.parquet(path), pack=EMPTY).select("i", F.explode_outer("candidates").alias("c"))
+    assert exploded._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r.i: r.c and r.c.encoding for r in exploded.collect()} == {1: "ISO-8859-1", 2: None}
+    some = detect(spark.read.parquet(path), pack=EMPTY).where("i = 1")
+    assert "EqualTo(i,1)" in some._jdf.queryExecution().executedPlan().toString()
