@@ -314,7 +314,7 @@ def q_hebrew_scores(spark, sf_dir):
 @query(f"SELECT doc_id, 'utf-8' AS encoding, {_CONF} AS confidence FROM documents WHERE {_MB} >= 5 AND NOT {_ODD}")
 def q_detect_all_utf8(spark, sf_dir):
     docs = _utf8(spark, sf_dir).where(~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5))
-    each = detect_all(docs).select("doc_id", F.explode("candidates").alias("c"))
+    each = detect_all(docs).select("doc_id", F.explode_outer("candidates").alias("c"))
     return each.where("c.encoding = 'utf-8'").select("doc_id", "c.encoding", "c.confidence")
 
 
