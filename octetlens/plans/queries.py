@@ -102,14 +102,26 @@ def _sure(spark, sf_dir):
     return detect(docs).select("doc_id", "lang", "detected.*")
 
 
+def _by_lang(found: DataFrame) -> DataFrame:
+    return found.groupBy("lang", "encoding").agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+
+
 @query(_SURE)
 def q_utf8_detect(spark, sf_dir):
+    """Of the rows SQL can answer; all documents are in q_detect."""
     return _sure(spark, sf_dir)
 
 
 @query(f"SELECT lang, encoding, count(*)::BIGINT AS n, min(confidence) AS least, max(confidence) AS most FROM ({_SURE}) GROUP BY lang, encoding")
 def q_detect_by_lang(spark, sf_dir):
-    return _sure(spark, sf_dir).groupBy("lang", "encoding").agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+    """Of the rows SQL can answer; all documents are in q_detect_by_lang_whole."""
+    return _by_lang(_sure(spark, sf_dir))
+
+
+@query()
+def q_detect_by_lang_whole(spark, sf_dir):
+    """Every document, those that reach the probers too."""
+    return _by_lang(detect(_utf8(spark, sf_dir, "lang")).select("lang", "detected.*"))
 
 
 _HEX = "WITH h AS (SELECT doc_id, lang, hex(encode(coalesce(text, ''))) AS h FROM documents)"
@@ -360,22 +372,40 @@ def q_prober_scores(spark, sf_dir):
 _CHATS = "(SELECT conv_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
 
 
-@query(_SURE.replace("doc_id, lang,", "conv_id,").replace("FROM documents", f"FROM {_CHATS}"))
-def q_conversation_detect(spark, sf_dir):
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
-    whole = per.select("conv_id", F.array_join(F.transform("all", lambda x: F.concat(x["t"], F.lit("\n"))), "").cast("binary").alias("content"))
-    sure = whole.where((~B.has_high_byte(L()) & ~B.has_escape(L())) | (~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5) & ~L().contains("~{")))
+    return per.select("conv_id", F.array_join(F.transform("all", lambda x: F.concat(x["t"], F.lit("\n"))), "").cast("binary").alias("content"))
+
+
+@query(_SURE.replace("doc_id, lang,", "conv_id,").replace("FROM documents", f"FROM {_CHATS}"))
+def q_conversation_detect(spark, sf_dir):
+    """Of the conversations SQL can answer; all are in q_conversation_detect_whole."""
+    sure = _conversations(spark, sf_dir).where((~B.has_high_byte(L()) & ~B.has_escape(L())) | (~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5) & ~L().contains("~{")))
     return detect(sure).select("conv_id", "detected.*")
 
 
+@query()
+def q_conversation_detect_whole(spark, sf_dir):
+    return detect(_conversations(spark, sf_dir)).select("conv_id", "detected.*")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("content"))
+
+
 @query(_SURE.replace("doc_id, lang,", "page_id,").replace("text", "html").replace("FROM documents", "FROM pages"))
 def q_page_detect(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("content"))
-    sure = pages.where((~B.has_high_byte(L()) & ~B.has_escape(L())) | (~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5) & ~L().contains("~{")))
+    """Of the pages SQL can answer; all are in q_page_detect_whole."""
+    sure = _pages(spark, sf_dir).where((~B.has_high_byte(L()) & ~B.has_escape(L())) | (~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5) & ~L().contains("~{")))
     return detect(sure).select("page_id", "detected.*")
 
 
+@query()
+def q_page_detect_whole(spark, sf_dir):
+    return detect(_pages(spark, sf_dir)).select("page_id", "detected.*")
+
+
 @query()
 def q_stream_chunks(spark, sf_dir):
     """Turns of a conversation as the chunks of a document."""
