@@ -1,12 +1,15 @@
 """Near-duplicates of embeddings by spherical-cap filters of a structured random product code.
 
-The dimensions are split in blocks; a filter is a choice of one random direction for each block. A vector falls into all
+Vectors are first turned by a fixed random rotation, so that their energy spreads over all dimensions, wherever it was. The
+dimensions are then split in blocks; a filter is a choice of one random direction for each block. A vector falls into all
 filters whose direction it exceeds a threshold with; these are list-decoded block by block from sorted inner products,
 without looking at every filter. Vectors that share a filter are verified by cosine in double precision.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,12 +33,24 @@ class ProductCode:
         self.cuts = np.linspace(0, dims, blocks + 1).astype(int)
         rng = np.random.Generator(np.random.PCG64(seed))
         self.code = [self._unit(rng.standard_normal((code_size, b - a))) / np.sqrt(blocks) for a, b in zip(self.cuts, self.cuts[1:])]
+        self.turn = self._rotation(dims, rng)
         self.size, self.least, self.step, self.needed = code_size, height / np.sqrt(dims), 0.25 / np.sqrt(dims), min(most_needed, code_size**blocks)
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
+    @staticmethod
+    def _rotation(dims: int, rng: np.random.Generator) -> np.ndarray:
+        """A random orthogonal matrix; with the signs of R's diagonal none is preferred."""
+        q, r = np.linalg.qr(rng.standard_normal((dims, dims)))
+        return q * np.where(np.diag(r) < 0, -1.0, 1.0)
+
+    def filters(self, vector: np.ndarray) -> np.ndarray:
+        """All filters of a vector: those of its direction after the rotation."""
+        turned = self.turn @ (vector / np.linalg.norm(vector))
+        return self.decode(turned / np.linalg.norm(turned))
+
     def decode(self, unit: np.ndarray) -> np.ndarray:
         """All filters of one unit vector, ascending."""
         inner = [c @ unit[a:b] for c, a, b in zip(self.code, self.cuts, self.cuts[1:])]
@@ -61,16 +76,20 @@ class ProductCode:
         return number, height
 
 
+@lru_cache(8)
+def _made(dims: int, **code) -> ProductCode:
+    """Once a process: the rotation of many dimensions takes a while to make."""
+    return ProductCode(dims, **code)
+
+
 def _filters(code: dict):
     def run(batches):
-        made = None
         for batch in batches:
             rep, label, vector, out = batch.column(0), batch.column(1), batch.column(2), []
             lists = []
             for v in vector:
                 x = np.frombuffer(v.as_py(), np.float64)
-                made = made if made and made[0] == len(x) else (len(x), ProductCode(len(x), **code))
-                lists.append(made[1].decode(x / np.linalg.norm(x)))
+                lists.append(_made(len(x), **code).filters(x))
             count = [len(x) for x in lists]
             which = pa.array(np.repeat(np.arange(len(lists)), count))
             out = [pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64), pa.int64()), *[c.take(which) for c in (rep, label, vector)]]
@@ -91,13 +110,13 @@ def _verify(code: dict, least: float):
             by_length.setdefault(len(v), []).append(i)
         for at in by_length.values():
             x = np.frombuffer(b"".join(vectors[i] for i in at), np.float64).reshape(len(at), -1)
-            at, norm, made = np.array(at), np.linalg.norm(x, axis=1), ProductCode(x.shape[1], **code)
+            at, norm, made = np.array(at), np.linalg.norm(x, axis=1), _made(x.shape[1], **code)
             decoded = {}
 
-            def first(i, j, x=x, norm=norm, made=made, decoded=decoded):
+            def first(i, j, x=x, made=made, decoded=decoded):
                 for k in (i, j):
                     if k not in decoded:
-                        decoded[k] = made.decode(x[k] / norm[k])
+                        decoded[k] = made.filters(x[k])
                 return np.intersect1d(decoded[i], decoded[j], assume_unique=True)[0]
 
             for s in range(0, len(at), 256):

@@ -311,6 +311,30 @@ def test_recall_at_the_threshold():
     assert missed <= 1
 
 
+def pairs_of_scale(scale, n, seed):
+    """Pairs at cosine 0.9801 whose coordinates have that scale."""
+    r = np.random.Generator(np.random.PCG64(seed))
+    for _ in range(n):
+        a, b = r.standard_normal((2, len(scale))) * scale
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        yield a, 0.9801 * a + math.sqrt(1 - 0.9801**2) * b / np.linalg.norm(b)
+
+
+SCALES = {"half zero": np.repeat([1.0, 0.0], 32), "eight": np.repeat([1.0, 0.0], [8, 56]), "decaying": 1 / np.arange(1, 65)}
+
+
+def test_recall_of_uneven_vectors(spark):
+    rows = []
+    for k, scale in enumerate(SCALES.values()):
+        for i, pair in enumerate(pairs_of_scale(scale, 200, k)):
+            rows += [(2 * (200 * k + i) + j, v.tolist(), f"{k} {i}") for j, v in enumerate(pair)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {q.vec_id: q.n_links for q in embedding_dedup.embedding_links(df).collect()}
+    missed = [sum(got[2 * (200 * k + i)] == 0 for i in range(200)) for k in range(len(SCALES))]
+    assert len(got) == 1200 and max(missed) <= 1, missed
+
+
 # ------------------------------------------------------------------ secrets
 
 
