@@ -415,8 +415,8 @@ def q_stream_chunks(spark, sf_dir):
 
 @query()
 def q_cli_report(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("content"))
-    return report(pages.dropDuplicates(["path"]))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("path"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("content"))
+    return report(pages, id_col="page_id")
 
 
 def _quoted(x: str) -> str:

@@ -21,22 +21,33 @@ def detect_files(spark: SparkSession, *paths: str, rename_legacy: bool = False)
     return detect(read_files(spark, *paths), rename_legacy=rename_legacy).select("path", "detected.*")
 
 
-def lines_of(files: DataFrame, name: str = "path") -> DataFrame:
-    """Chunks that end at line feeds, the way a file is read line by line: (doc_id, seq, chunk, name)."""
+def _key(name: str, id_col: str | None):
+    return (F.col(id_col).cast("long") if id_col else F.xxhash64(name)).alias("doc_id")
+
+
+def lines_of(files: DataFrame, name: str = "path", id_col: str | None = None) -> DataFrame:
+    """Chunks that end at line feeds, the way a file is read line by line: (doc_id, seq, chunk, name).
+
+    ``id_col`` tells documents apart where names repeat or are null; without it a name is one document.
+    """
     lines = F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))
-    each = files.select(F.xxhash64(name).alias("doc_id"), F.col(name).alias("name"), F.posexplode_outer(lines).alias("seq", "line"))
+    each = files.select(_key(name, id_col), F.col(name).alias("name"), F.posexplode_outer(lines).alias("seq", "line"))
     return each.select("doc_id", "name", "seq", F.encode("line", "ISO-8859-1").alias("chunk"))
 
 
-def report(files: DataFrame, minimal: bool = False, rename_legacy: bool = False, name: str = "path") -> DataFrame:
-    """A line of text for each file, read line by line and no further than needed: (name, line)."""
-    chunks = lines_of(files, name)
-    found = detect_chunks(chunks, rename_legacy=rename_legacy).join(chunks.select("doc_id", "name").distinct(), "doc_id")
+def report(files: DataFrame, minimal: bool = False, rename_legacy: bool = False, name: str = "path", id_col: str | None = None) -> DataFrame:
+    """A line of text for each file, read line by line and no further than needed: (name, line).
+
+    With ``id_col``, a line for each identifier, whatever its name; a null name is written as None.
+    """
+    chunks = lines_of(files, name, id_col)
+    found = detect_chunks(chunks, rename_legacy=rename_legacy).join(files.select(_key(name, id_col), F.col(name).alias("name")).distinct(), "doc_id")
     if minimal:
         return found.select("name", F.coalesce("encoding", F.lit("None")).alias("line"))
     # A confidence is written as its shortest decimal form.
-    line = F.when(F.col("encoding").isNull(), F.concat("name", F.lit(": no result"))).otherwise(
-        F.concat("name", F.lit(": "), "encoding", F.lit(" with confidence "), F.col("confidence").cast("string"))
+    written = F.coalesce("name", F.lit("None"))
+    line = F.when(F.col("encoding").isNull(), F.concat(written, F.lit(": no result"))).otherwise(
+        F.concat(written, F.lit(": "), "encoding", F.lit(" with confidence "), F.col("confidence").cast("string"))
     )
     return found.select("name", line.alias("line"))
 

@@ -41,3 +41,12 @@ def test_every_page_document_and_conversation(spark, tables):
     for r in got:
         c = [x for i, (e, x, _) in want.items() if (["fr", "de", None][i % 3], e) == (r.lang, r.encoding)]
         assert (r.least, r.most) == (min(c), max(c))
+
+
+def test_report_of_pages_with_equal_or_null_urls(spark, tmp_path):
+    pages = [(1, "u", "plain"), (2, "u", "é\n" * 9), (3, "u", ""), (4, None, "plain"), (5, None, "é\n" * 9), (6, "v", "plain")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["q_cli_report"](spark, str(tmp_path)).collect()
+    ascii_, utf8 = "ascii with confidence 1.0", "utf-8 with confidence 0.99"
+    want = [("u", f"u: {ascii_}"), ("u", f"u: {utf8}"), ("u", "u: no result"), (None, f"None: {ascii_}"), (None, f"None: {utf8}"), ("v", f"v: {ascii_}")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
