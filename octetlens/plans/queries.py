@@ -467,5 +467,5 @@ def q_mb_scores(spark, sf_dir):
 
 @query()
 def q_detect_files(spark, sf_dir):
-    """Files as they lie: a Parquet file is no text, but bytes to look at."""
-    return detect_files(spark, f"{sf_dir}/[nr]*.parquet")
+    """Every file of the folder as it lies: a Parquet file is no text, but bytes to look at."""
+    return detect_files(spark, sf_dir, recursive=True)

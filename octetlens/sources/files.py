@@ -12,13 +12,13 @@ from ..streaming.incremental import detect_chunks
 CORPUS_KINDS = ("html", "txt", "xml", "srt")
 
 
-def read_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, content) of each file. Spark's readers skip names that begin with _ or a dot."""
-    return spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+def read_files(spark: SparkSession, *paths: str, recursive: bool = False) -> DataFrame:
+    """(path, content) of each file, with ``recursive`` those of folders within too. Spark's readers skip names that begin with _ or a dot."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(list(paths)).select("path", "content")
 
 
-def detect_files(spark: SparkSession, *paths: str, rename_legacy: bool = False) -> DataFrame:
-    return detect(read_files(spark, *paths), rename_legacy=rename_legacy).select("path", "detected.*")
+def detect_files(spark: SparkSession, *paths: str, rename_legacy: bool = False, recursive: bool = False) -> DataFrame:
+    return detect(read_files(spark, *paths, recursive=recursive), rename_legacy=rename_legacy).select("path", "detected.*")
 
 
 def _key(name: str, id_col: str | None):

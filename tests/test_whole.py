@@ -50,3 +50,12 @@ def test_report_of_pages_with_equal_or_null_urls(spark, tmp_path):
     ascii_, utf8 = "ascii with confidence 1.0", "utf-8 with confidence 0.99"
     want = [("u", f"u: {ascii_}"), ("u", f"u: {utf8}"), ("u", "u: no result"), (None, f"None: {ascii_}"), (None, f"None: {utf8}"), ("v", f"v: {ascii_}")]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_every_file_of_the_folder(spark, tmp_path):
+    files = {"region.parquet": b"plain", "lineitem.parquet": "é".encode() * 9, "documents.parquet/part-0000.parquet": b"PAR1", "documents.parquet/more/part-0001.parquet": b"\xef\xbb\xbfx"}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.split(f"{tmp_path}/")[1]: r.encoding for r in QUERIES["q_detect_files"](spark, str(tmp_path)).collect()}
+    assert got == dict(zip(files, ["ascii", "utf-8", "ascii", "UTF-8-SIG"]))
