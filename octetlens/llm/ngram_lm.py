@@ -1,20 +1,26 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are contexts: the empty one and every known word. A known pair is an arc; for any other word the failure arc leads
-to the empty state at a cost, and there every word has an arc. With Dirichlet smoothing
+States are contexts of up to ``order`` - 1 words that training texts hold. An n-gram of training is an arc from the state of
+its first words; for any other word the failure arc of a state leads, at a cost, to the state of one word less, down to the
+empty state, where every word has an arc. With Dirichlet smoothing
 
-    P(w | h) = (c(h w) + mu P(w)) / (c(h) + mu),    P(w) = (c(w) - d) / N,    P(unknown) = d V / N,
+    P(w | a h) = (c(a h w) + mu P(w | h)) / (c(a h) + mu),    P(w) = (c(w) - d) / N,    P(unknown) = d V / N,
 
 arcs and failure arcs follow from counts alone. One traversal from left to right carries the state and adds the weights.
 
-The model isn't broadcast: it grows with the corpus. Texts are cut into blocks; each block sends its distinct n-grams with
-its training counts, as packed sorted hashes, to buckets by hash; a bucket adds up and answers every block with the counts
-of just its n-grams. A block then holds its part of the automaton and traverses its documents. A frequent word is one
-entry of each block, so nothing is skewed.
+The model isn't broadcast: it grows with the corpus. Texts are cut into blocks; a block asks for the training counts of
+just its distinct n-grams, as packed sorted runs of hashes, and so gets the part of the automaton that its texts can reach.
+Runs meet in a tree: ``fan`` blocks send each of ``fan`` ranges of hashes to a node, which merges them; if there are more
+blocks, nodes send on in the same way, each level dividing the ranges further. At the top a node holds all counts of its
+range, and the answers travel down the same tree. A block or node sends ``fan`` messages at most on each level, and every
+level holds as many entries as the blocks do, so messages grow with the corpus (times its logarithm to the base ``fan``).
+A frequent n-gram is one entry of each block, so nothing is skewed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -25,10 +31,14 @@ from .common import mix, store, word_hashes
 
 #: Hash that stands for the end of a document, also the context of its first word.
 END = np.uint64(0x5D1F0C3B9A7E2468)
-#: Entries of a bucket, about.
-BUCKET = 3_000_000
+#: Entries of a range, about, while one level is enough.
+RANGE = 3_000_000
 #: Tokens of a block, about.
 BLOCK = 1_000_000
+#: Messages that a block or node sends on a level at most.
+FAN = 256
+#: Bits of a hash that tell n-grams of two and more words apart; those of words have 64.
+_PAIR_BITS = np.uint64(2**64 - 2**8)
 
 
 def _press(x: np.ndarray) -> bytes:
@@ -54,36 +64,36 @@ def unpress_sorted(data: bytes) -> np.ndarray:
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(a * np.uint64(0x9E3779B97F4A7C15) + b)
+        return mix(a * np.uint64(0x9E3779B97F4A7C15) + b) & _PAIR_BITS
+
 
+# ------------------------------------------------------------------ blocks
 
-_BLOCKS = "block long, docs int, tokens long, words long, ids binary, held binary, lengths binary, vocabulary binary, local binary"
+_BLOCKS = "block long, tokens long, trained long, words long, ids array<long>, held binary, lengths binary, vocabulary binary, local binary"
+_BLOCK_TYPE = pa.schema([*((c, pa.int64()) for c in ("block", "tokens", "trained", "words")), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("held", "lengths", "vocabulary", "local"))])
 
 
 def _cut(limit: int):
     """Blocks of documents: each distinct word's hash once, and the tokens as numbers of these."""
 
     def run(batches):
-        ids, held, lengths, words, total, part, at = [], [], [], [], 0, 0, 0
+        ids, held, words, total, part, at = [], [], [], 0, 0, 0
 
         def flush():
-            nonlocal ids, held, lengths, words, total, at
-            every = np.concatenate(words)
-            vocabulary, local = np.unique(every, return_inverse=True)
-            row = [(part << 32) + at, len(ids), total, len(vocabulary), np.array([x if x is not None else -(2**63) for x in ids], "<i8").tobytes(), np.array(held, np.uint8).tobytes(), np.array(lengths, "<u4").tobytes(), press_sorted(vocabulary), _press(local.astype("<u4"))]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 5
-            ids, held, lengths, words, total, at = [], [], [], [], 0, at + 1
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
+            nonlocal ids, held, words, total, at
+            vocabulary, local = np.unique(np.concatenate(words), return_inverse=True)
+            lengths, out = np.array([len(w) for w in words], "<u4"), np.array(held, np.uint8)
+            row = ((part << 32) + at, total, int(lengths[out == 0].sum()), len(vocabulary), ids, out.tobytes(), lengths.tobytes(), press_sorted(vocabulary), _press(local.astype("<u4")))
+            ids, held, words, total, at = [], [], [], 0, at + 1
+            return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _BLOCK_TYPE)], schema=_BLOCK_TYPE)
 
         for batch in batches:
             for i, h, text, p in zip(*(batch.column(k) for k in range(4)), strict=True):
                 part = p.as_py()
-                w = np.append(word_hashes(text.as_py()), END)
                 ids.append(i.as_py())
                 held.append(h.as_py())
-                lengths.append(len(w))
-                words.append(w)
-                total += len(w)
+                words.append(np.append(word_hashes(text.as_py()), END))
+                total += len(words[-1])
                 if total >= limit:
                     yield flush()
         if ids:
@@ -92,144 +102,241 @@ def _cut(limit: int):
     return run
 
 
-def _entries(vocabulary: np.ndarray, local: np.ndarray, lengths: np.ndarray, held: np.ndarray):
-    """Of a block: sorted distinct pair hashes, for each token its pair's number, and which tokens are for training."""
-    token = vocabulary[local]
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[np.cumsum(lengths) - lengths] = END
-    pairs, number = np.unique(pair_hash(before, token), return_inverse=True)
-    return token, before, pairs, number, np.repeat(held == 0, lengths)
-
+class Block:
+    """The n-grams of a block's documents: of each order, sorted distinct hashes and every token's number among them.
 
-def _unpack(row):
-    lengths, held = np.frombuffer(row["lengths"], "<u4").astype(np.int64), np.frombuffer(row["held"], np.uint8)
-    return unpress_sorted(row["vocabulary"]), _unpress(row["local"], "<u4").astype(np.int64), lengths, held
-
-
-def _slices(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket, an equal range of hashes, begins in sorted hashes."""
-    cuts = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(sorted_hashes, cuts), [len(sorted_hashes)]])
+    The n-gram of a token ends there. A document has one mark before its first word, so that a token has none of more
+    words than there are up to it and that mark; its number is then one past the last.
+    """
 
+    def __init__(self, row: dict, order: int):
+        self.lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+        self.held = np.frombuffer(row["held"], np.uint8).astype(bool)
+        self.ends = np.cumsum(self.lengths)
+        vocabulary, local = unpress_sorted(row["vocabulary"]), _unpress(row["local"], "<u4").astype(np.int64)
+        self.first = np.zeros(len(local), bool)
+        self.first[self.ends - self.lengths] = True
+        self.end = int(np.searchsorted(vocabulary, END))
+        self.keys, self.number = [vocabulary], [local]
+        token = vocabulary[local]
+        last, there = token, np.ones(len(token), bool)
+        for k in range(2, order + 1):
+            before = np.append(END, last[:-1])
+            if k == 2:
+                before[self.first] = END
+            else:
+                there = np.append(False, there[:-1]) & ~self.first
+            last = pair_hash(before, token)
+            keys, number = np.unique(last[there], return_inverse=True)
+            every = np.full(len(token), len(keys))
+            every[there] = number
+            self.keys.append(keys)
+            self.number.append(every)
+
+    def trained(self, k: int) -> np.ndarray:
+        """How often each n-gram of ``k`` + 1 words occurs in the block's training documents."""
+        taught = np.repeat(~self.held, self.lengths)
+        return np.bincount(self.number[k][taught], minlength=len(self.keys[k]) + 1)[: len(self.keys[k])].astype("<u4")
+
+
+# ------------------------------------------------------------------ exchange of counts
+
+_MESSAGE = "team long, range long, kind int, child long, keys binary, counts binary"
+_MESSAGE_TYPE = pa.schema([("team", pa.int64()), ("range", pa.int64()), ("kind", pa.int32()), ("child", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ANSWER = "child long, range long, kind int, counts binary, known long, once long, twice long"
+_ANSWER_TYPE = pa.schema([("child", pa.int64()), ("range", pa.int64()), ("kind", pa.int32()), ("counts", pa.binary()), ("known", pa.int64()), ("once", pa.int64()), ("twice", pa.int64())])
+
+
+def _pieces(team: int, child: int, kind: int, keys: np.ndarray, counts: np.ndarray, within: int, fan: int, ranges: int) -> list[tuple]:
+    """Messages with the parts of sorted hashes that lie in each of the ``fan`` ranges of range ``within``, of ``ranges`` in all."""
+    cuts = np.array([(((within * fan + j) << 64) // ranges) for j in range(1, fan)], np.uint64)
+    at = np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
+    return [(team, within * fan + j, kind, child, press_sorted(keys[a:b]), _press(counts[a:b])) for j, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+
+
+def _send(order: int, fan: int, team: int):
+    """A block's messages to the nodes of its team, ``team`` blocks at a time."""
 
-def _send(buckets: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                vocabulary, local, lengths, held = _unpack(row)
-                _, _, pairs, number, train = _entries(vocabulary, local, lengths, held)
-                out = []
-                for kind, keys, which in ((1, vocabulary, local), (2, pairs, number)):
-                    counts = np.bincount(which[train], minlength=len(keys)).astype("<u4")
-                    at = _slices(keys, buckets)
-                    out += [(k, row["block"], kind, press_sorted(keys[a:b]), _press(counts[a:b])) for k, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["bucket", "block", "kind", "keys", "counts"])
+                block, out = Block(row, order), []
+                for k in range(order):
+                    out += _pieces(row["home"] // team, row["block"], k + 1, block.keys[k], block.trained(k), 0, fan, fan)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _MESSAGE_TYPE)], schema=_MESSAGE_TYPE)
 
     return run
 
 
-def _add_up(group: pa.Table) -> pa.Table:
-    """Of a bucket and kind: corpus counts, told to each block in the order of its keys; and how many occur once and twice."""
-    blocks = group.column("block").to_pylist()
+def _merged(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a node's messages: their hashes, all distinct ones, each message's places among them, and summed counts."""
     keys = [unpress_sorted(x.as_py()) for x in group.column("keys")]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(where, np.concatenate([_unpress(x.as_py(), "<u4") for x in group.column("counts")]).astype(float), len(every)).astype("<u4")
+    counts = np.concatenate([_unpress(x.as_py(), "<u4") for x in group.column("counts")])
+    return keys, every, where, np.bincount(where, counts, len(every)).astype("<u4")
+
+
+def _send_on(fan: int, ranges: int):
+    """A node's messages to the next level."""
+
+    def run(group: pa.Table) -> pa.Table:
+        team, within, kind = (group.column(c)[0].as_py() for c in ("team", "range", "kind"))
+        _, every, _, total = _merged(group)
+        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*_pieces(team // fan, team, kind, every, total, within, fan, ranges), strict=True), _MESSAGE_TYPE)], schema=_MESSAGE_TYPE)
+
+    return run
+
+
+def _reply(group: pa.Table, keys: list[np.ndarray], where: np.ndarray, total: np.ndarray, stats: tuple[int, int, int]) -> pa.Table:
     ends = np.cumsum([len(x) for x in keys])
-    answers = [_press(total[where[e - len(k) : e]]) for k, e in zip(keys, ends)]
-    n = len(blocks)
-    first = [1] + [0] * (n - 1)
-    known, once, twice = int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())
-    return pa.table({
-        "block": pa.array(blocks, pa.int64()), "bucket": group.column("bucket"), "kind": group.column("kind"), "counts": pa.array(answers, pa.binary()),
-        "known": pa.array([known * x for x in first], pa.int64()), "once": pa.array([once * x for x in first], pa.int64()), "twice": pa.array([twice * x for x in first], pa.int64()),
-    })
+    counts = pa.array([_press(total[where[e - len(k) : e]]) for k, e in zip(keys, ends)], pa.binary())
+    rest = [0] * (len(keys) - 1)
+    return pa.table([group.column("child"), group.column("range"), group.column("kind"), counts, *[pa.array([x, *rest], pa.int64()) for x in stats]], schema=_ANSWER_TYPE)
+
+
+def _add_up(group: pa.Table) -> pa.Table:
+    """Of a node at the top: corpus counts, told to each child in the order of its hashes; how many occur, occur once, twice."""
+    keys, _, where, total = _merged(group)
+    return _reply(group, keys, where, total, (int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())))
+
+
+def _pass_down(messages: pa.Table, answers: pa.Table) -> pa.Table:
+    """Of a node below: the counts it was told, told to each child."""
+    if not messages.num_rows:
+        return _ANSWER_TYPE.empty_table()
+    keys, _, where, _ = _merged(messages)
+    told = answers.sort_by("range").column("counts")
+    return _reply(messages, keys, where, np.concatenate([_unpress(x.as_py(), "<u4") for x in told]), (0, 0, 0))
+
+
+def corpus_counts(blocks: DataFrame, n_blocks: int, order: int, fan: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """Answers (child, range, kind, counts, ...), for each block the training counts of its n-grams in pieces by range, and those of the top."""
+    levels = 1
+    while fan**levels < n_blocks:
+        levels += 1
+    wide = fan if levels > 1 else ranges
+    # Which blocks form a team is dealt by a hash; teams of teams follow.
+    dealt = blocks.withColumn("home", F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks))))
+    sent = [dealt.mapInArrow(_send(order, wide, fan), _MESSAGE)]
+    node = ["team", "range", "kind"]
+    for level in range(1, levels):
+        sent[-1] = store(sent[-1], "messages")
+        sent.append(sent[-1].groupBy(*node).applyInArrow(_send_on(fan, fan ** (level + 1)), _MESSAGE))
+    # The last level is one team, whatever fell where by the hash.
+    answers = store(sent.pop().withColumn("team", F.lit(0).cast("long")).groupBy(*node).applyInArrow(_add_up, _ANSWER), "answers")
+    stats = answers
+    while sent:
+        up = answers.select(F.col("child").alias("team"), F.floor(F.col("range") / fan).alias("within"), "kind", "range", "counts")
+        answers = store(sent.pop().groupBy(*node).cogroup(up.groupBy("team", "within", "kind")).applyInArrow(_pass_down, _ANSWER), "answers")
+    return answers, stats
+
+
+# ------------------------------------------------------------------ the automaton
 
 
 class Automaton:
-    """Part of the automaton that a block needs, and its traversal."""
+    """The part of the automaton that a block's texts can reach.
 
-    def __init__(self, total: int, words: int, discount: float, mu: float):
-        self.n, self.v, self.d, self.mu = total, words, discount, mu
+    A token may be met in states of 0 to ``order`` - 1 words, and has one arc from each at most: ``arcs[k][i]`` is the weight
+    of token i's arc from the state of the k words before it, NaN where there is none. ``failures[k][i]`` is the weight of
+    the failure arc of that state, k at least 1, which leads to the state of k - 1 words. Weights are log10. An unknown
+    word leaves the empty state behind.
+    """
 
-    def word_arc(self, count: np.ndarray) -> np.ndarray:
-        """Probability at the empty state; all unknown words together are one symbol."""
-        unknown = self.d * self.v / self.n if self.n else 1.0
-        return np.where(count > 0, (count - self.d) / max(self.n, 1), unknown)
+    def __init__(self, block: Block, counts: list[np.ndarray], total: int, words: int, discount: float, strengths: Sequence[float]):
+        seen = counts[0].astype(float)[block.number[0]]
+        p = word_arc(seen, total, words, discount)
+        self.ends, self.known = block.ends, seen > 0
+        self.arcs, self.failures, self.count = [np.log10(p)], [np.empty(0)], seen
+        marks = float(counts[0][block.end]) if len(counts[0]) else 0.0
+        for k in range(1, len(counts)):
+            context = np.append(0.0, seen[:-1])
+            context[block.first] = marks if k == 1 else 0.0
+            seen = np.append(counts[k], 0).astype(float)[block.number[k]]
+            mu = strengths[k - 1]
+            p = (seen + mu * p) / (context + mu)
+            self.arcs.append(np.where(seen > 0, np.log10(p), np.nan))
+            self.failures.append(np.log10(mu / (context + mu)))
+
+    def traverse(self, step: int = 1 << 16) -> list[float]:
+        """Each document's weight: one pass over its tokens that carries the state, here its number of words."""
+        most, out, total, document = len(self.arcs) - 1, [], 0.0, 0
+        start = state = min(1, most)
+        for a in range(0, len(self.known), step):
+            known = self.known[a : a + step].tolist()
+            arcs, failures = ([x[a : a + step].tolist() for x in xs] for xs in (self.arcs, self.failures))
+            i = 0
+            while i < len(known):
+                stop = min(int(self.ends[document]) - a, len(known))
+                for i in range(i, stop):
+                    weight = arcs[state][i]
+                    while weight != weight:
+                        total += failures[state][i]
+                        state -= 1
+                        weight = arcs[state][i]
+                    total += weight
+                    if not known[i]:
+                        state = 0
+                    elif state < most:
+                        state += 1
+                i = stop
+                if a + stop == self.ends[document]:
+                    out.append(total)
+                    total, state, document = 0.0, start, document + 1
+        return out
+
+
+def word_arc(count: np.ndarray, total: int, words: int, discount: float) -> np.ndarray:
+    """Probability at the empty state; all unknown words together are one symbol."""
+    unknown = discount * words / total if total else 1.0
+    return np.where(count > 0, (count - discount) / max(total, 1), unknown)
 
-    def traverse(self, state_count: np.ndarray, pair_count: np.ndarray, word_count: np.ndarray) -> np.ndarray:
-        """log10 weight of each step: the state's own arc where the pair is known, else its failure arc and the word's.
 
-        The state that a word leaves behind is that word if known, else the empty state, so the states of all steps are
-        known from the words and the steps' weights can be added in one pass.
-        """
-        low = self.word_arc(word_count)
-        arc = (pair_count + self.mu * low) / (state_count + self.mu)
-        failure = self.mu / (state_count + self.mu)
-        return np.log10(np.where(pair_count > 0, arc, failure * low))
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORED_TYPE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _score(total: int, words: int, discount: float, mu: float):
-    model = Automaton(total, words, discount, mu)
+def _score(total: int, words: int, discount: float, strengths: Sequence[float]):
+    order = len(strengths) + 1
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        answers = right.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        kinds = answers.column("kind").to_pylist()
-        pressed = answers.column("counts")
+        answers = right.sort_by([("kind", "ascending"), ("range", "ascending")])
+        kinds, pressed, out = answers.column("kind").to_pylist(), answers.column("counts"), []
+        counts = [np.concatenate([_unpress(pressed[i].as_py(), "<u4") for i, x in enumerate(kinds) if x == k + 1] or [np.empty(0, "<u4")]) for k in range(order)]
         for row in left.to_pylist():
-            vocabulary, local, lengths, held = _unpack(row)
-            _, before, pairs, number, _ = _entries(vocabulary, local, lengths, held)
-            by_word, by_pair = (np.concatenate([_unpress(pressed[i].as_py(), "<u4") for i, x in enumerate(kinds) if x == kind] or [np.empty(0, "<u4")]).astype(float) for kind in (1, 2))
-            starts = np.cumsum(lengths) - lengths
-            count = by_word[local]
-            state = np.empty_like(count)
-            state[1:] = count[:-1]
-            end = np.searchsorted(vocabulary, END)
-            state[starts] = by_word[end]
-            steps = model.traverse(state, by_pair[number], count)
-            base = np.log10((count + 1) / (total + 1.0 * (words + 1)))
-            ids = [None if x == -(2**63) else x for x in np.frombuffer(row["ids"], "<i8").tolist()]
-            out.append({
-                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(lengths),
-                "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), "train_tokens": pa.array(np.full(len(lengths), total)),
-                "base_score": pa.array(np.add.reduceat(base, starts)), "score": pa.array(np.add.reduceat(steps, starts)),
-            })
-        return pa.concat_tables([pa.table(x) for x in out]) if out else _SCORED_TYPE.empty_table()
+            block = Block(row, order)
+            model = Automaton(block, counts, total, words, discount, strengths)
+            starts = block.ends - block.lengths
+            base = np.log10((model.count + 1) / (total + words + 1.0))
+            out.append([
+                pa.array(row["ids"], pa.int64()), pa.array(block.held), pa.array(block.lengths), pa.array(np.add.reduceat(model.known.astype(np.int64), starts)),
+                pa.array(np.full(len(starts), total)), pa.array(np.add.reduceat(base, starts)), pa.array(model.traverse(), pa.float64()),
+            ])
+        return pa.concat_tables([pa.table(x, schema=_SCORED_TYPE) for x in out]) if out else _SCORED_TYPE.empty_table()
 
     return run
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_SCORED_TYPE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
-def score_corpus(docs: DataFrame, held_out: Column, mu: float = 100.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_corpus(
+    docs: DataFrame, held_out: Column, strengths: Sequence[float] = (1000.0, 100.0), id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, fan: int = FAN
+) -> DataFrame:
     """Learns from documents where ``held_out`` is false and scores all of them.
 
     Per document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score), log10 probabilities of the words and
-    one end; ``base_score`` is that of words alone with one added to each count. A null text is empty: an end alone. A null
-    ``held_out`` counts as false. Without any training document every word is unknown. The discount is n1 / (n1 + 2 n2) of
-    the words that occur once and twice, between 0.01 and 0.99.
+    one end; ``base_score`` is that of words alone with one added to each count. ``strengths`` are mu for n-grams of two,
+    three, ... words, so their number sets the order. A null text is empty: an end alone. A null ``held_out`` counts as
+    false. Rows that repeat an identifier, or have none, are documents of their own. Without any training document every
+    word is unknown. The discount d is n1 / (n1 + 2 n2) of the words that occur once and twice, between 0.01 and 0.99. A
+    document is never cut, so a block's memory is that of ``block`` tokens and its longest document.
     """
-    spark = docs.sparkSession
+    spark, order = docs.sparkSession, len(strengths) + 1
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).cast("int").alias("held"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
-    blocks = store(picked.mapInArrow(_cut(BLOCK), _BLOCKS), "blocks")
-    entries = blocks.agg(F.sum(F.col("tokens") + F.col("words"))).first()[0] or 0
-    buckets = max(1, -(-entries // BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
-    sent = blocks.mapInArrow(_send(buckets), "bucket int, block long, kind int, keys binary, counts binary")
-    answers = store(sent.groupBy("bucket", "kind").applyInArrow(_add_up, "block long, bucket int, kind int, counts binary, known long, once long, twice long"), "answers")
-    known = answers.where("kind = 1").agg(F.sum("known"), F.sum("once"), F.sum("twice")).first()
-    words, once, twice = (x or 0 for x in known)
+    blocks = store(picked.mapInArrow(_cut(block), _BLOCKS), "blocks")
+    n, entries, train = (x or 0 for x in blocks.agg(F.count("*"), F.sum(F.col("tokens") + F.col("words")), F.sum("trained")).first())
+    ranges = min(fan, max(1, -(-entries // RANGE), int(spark.conf.get("spark.sql.shuffle.partitions")) // 2))
+    answers, stats = corpus_counts(blocks, n, order, fan, ranges)
+    words, once, twice = (x or 0 for x in stats.where("kind = 1").agg(F.sum("known"), F.sum("once"), F.sum("twice")).first())
     discount = once / (once + 2 * twice) if once else 0.5
-    train = blocks.select("lengths", "held").mapInArrow(_train_tokens, "n long").agg(F.sum("n")).first()[0] or 0
-    scored = blocks.groupBy("block").cogroup(answers.select("block", "bucket", "kind", "counts").groupBy("block")).applyInArrow(_score(train, words, min(max(discount, 0.01), 0.99), mu), _SCORED)
+    told = answers.select(F.col("child").alias("block"), "range", "kind", "counts")
+    scored = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(train, words, min(max(discount, 0.01), 0.99), strengths), _SCORED)
     return scored.withColumnRenamed("doc_id", id_col)
-
-
-def _train_tokens(batches):
-    for batch in batches:
-        n = sum(int(np.frombuffer(a.as_py(), "<u4")[np.frombuffer(b.as_py(), np.uint8) == 0].sum()) for a, b in zip(*batch.columns, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])

@@ -370,48 +370,59 @@ def test_secrets(spark, empty):
 # ------------------------------------------------------------------ language model
 
 
-def test_language_model(docs, empty):
+@pytest.mark.parametrize("strengths, block, fan", [((), 10**6, 256), ((100.0,), 3000, 2), ((50.0, 5.0), 10**6, 256), ((50.0, 5.0), 2000, 3)])
+def test_language_model(docs, empty, strengths, block, fan):
+    """Against an automaton of dictionaries, walked word by word; small blocks and fans make a tree of several levels."""
     held = F.pmod(common.crc_of_id(), F.lit(7)) == 2
-    tokens, train, n = {}, Counter(), 0
-    for k, (i, t, *_) in enumerate(ROWS):
-        tokens[k] = [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
-        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
-            train.update(tokens[k])
-            n += len(tokens[k])
-    pairs = Counter()
+    trains = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
+    tokens = {k: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for k, (_, t, *_) in enumerate(ROWS)}
+    count, n = Counter(), 0
     for k, (i, *_) in enumerate(ROWS):
-        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
-            pairs.update(zip([None, *tokens[k]], tokens[k]))
-    once, twice = (sum(c == x for c in train.values()) for x in (1, 2))
-    d, mu, v = min(once / (once + 2 * twice), 0.99), 100.0, len(train)
+        if trains(i):
+            marked = [None, *tokens[k]]
+            count.update(tuple(marked[j - m : j]) for m in range(1, len(strengths) + 2) for j in range(max(m, 2), len(marked) + 1))
+            n += len(tokens[k])
+    single = {g[0]: c for g, c in count.items() if len(g) == 1}
+    once, twice = (sum(c == x for c in single.values()) for x in (1, 2))
+    d, v = min(once / (once + 2 * twice), 0.99), len(single)
+
+    def p(state, w):
+        if not state:
+            return (single[w] - d) / n if w in single else d * v / n
+        mu = strengths[len(state) - 1]
+        return (count[(*state, w)] + mu * p(state[1:], w)) / (count[state] + mu)
 
     def walk(words):
-        """The automaton step by step: arcs, failure arcs, and the state carried along."""
-        state, total = None, 0.0
+        state, total = (None,) if strengths and (None,) in count else (), 0.0
         for w in words:
-            low = (train[w] - d) / n if train[w] else d * v / n
-            there = train[state] if state in train else 0
-            if pairs[state, w]:
-                total += math.log10((pairs[state, w] + mu * low) / (there + mu))
-            else:
-                total += math.log10(mu / (there + mu)) + math.log10(low)
-            state = w if w in train else ""
+            while state and (*state, w) not in count:
+                mu = strengths[len(state) - 1]
+                total += math.log10(mu / (count[state] + mu))
+                state = state[1:]
+            total += math.log10(p(state, w))
+            state = (*state, w)[-len(strengths) :] if strengths and w in single else ()
         return total
 
-    want = sorted((ROWS[k][0] or -1, len(w), sum(train[x] > 0 for x in w), round(sum(math.log10((train[x] + 1) / (n + v + 1)) for x in w), 6), round(walk(w), 6)) for k, w in tokens.items())
-    got = ngram_lm.score_corpus(docs, held).collect()
-    assert {r.train_tokens for r in got} == {n}
-    mine = sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got)
+    assert walk(tokens[5]) == pytest.approx(sum(math.log10(p(tuple([None, *tokens[5]][max(0, j - len(strengths) + 1) : j + 1]) if strengths else (), w)) for j, w in enumerate(tokens[5])))
+    want = sorted((ROWS[k][0] or -1, len(w), sum(x in single for x in w), sum(math.log10((single.get(x, 0) + 1) / (n + v + 1)) for x in w), walk(w)) for k, w in tokens.items())
+    got = ngram_lm.score_corpus(docs, held, strengths, block=block, fan=fan).collect()
+    assert {r.train_tokens for r in got} == {n} and Counter(r.held_out for r in got) == Counter(not trains(i) for i, *_ in ROWS)
+    mine = sorted((r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in got)
     assert len(mine) == len(want)
     for a, b in zip(mine, want):
-        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-6)
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-9)
     # At every state the weights of all words, the unknown one among them, add up to one.
-    model = ngram_lm.Automaton(n, v, d, mu)
-    for state in (None, *list(train)[:5]):
-        words = list(train) + [""]
-        steps = model.traverse(np.full(len(words), float(train[state])), np.array([float(pairs[state, w]) for w in words]), np.array([float(train[w]) for w in words]))
-        assert (10**steps).sum() == pytest.approx(1.0)
-    assert ngram_lm.score_corpus(empty, held).count() == 0
+    for g in [g for g in count if len(g) <= len(strengths) and (g[-1] is not None or len(g) == 1)][:5]:
+        assert sum(p(g, w) for w in [*single, "?"]) == pytest.approx(1.0)
+    assert ngram_lm.score_corpus(empty, held, strengths).count() == 0
+
+
+def test_language_model_keeps_identifiers(spark):
+    rows = [(-(2**63), "a b"), (2**63 - 1, "a b"), (None, None), (7, "a b a b"), (7, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for held in (F.lit(False), F.lit(True), F.lit(None).cast("boolean")):
+        got = ngram_lm.score_corpus(df, held).collect()
+        assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows) and all(math.isfinite(r.score) for r in got)
 
 
 # ------------------------------------------------------------------ classifiers
