@@ -10,11 +10,11 @@ arcs and failure arcs follow from counts alone. One traversal from left to right
 
 The model isn't broadcast: it grows with the corpus. Texts are cut into blocks; a block asks for the training counts of
 just its distinct n-grams, as packed sorted runs of hashes, and so gets the part of the automaton that its texts can reach.
-Runs meet in a tree: ``fan`` blocks send each of ``fan`` ranges of hashes to a node, which merges them; if there are more
-blocks, nodes send on in the same way, each level dividing the ranges further. At the top a node holds all counts of its
-range, and the answers travel down the same tree. A block or node sends ``fan`` messages at most on each level, and every
-level holds as many entries as the blocks do, so messages grow with the corpus (times its logarithm to the base ``fan``).
-A frequent n-gram is one entry of each block, so nothing is skewed.
+Runs meet in a tree: each block sends the parts of its runs to the nodes of ``fan`` ranges of hashes at most. Where these
+are enough for the corpus, a node holds all counts of its range. Else ``fan`` blocks share a node, which merges what it got
+and sends on in the same way, each level dividing the ranges further; answers travel down the same tree. A block or node sends
+``fan`` messages at most on each level, and a level holds no more entries than the blocks do, so messages grow with the corpus
+(times its logarithm to the base ``fan``). A frequent n-gram is one entry of each block, so nothing is skewed.
 """
 
 from __future__ import annotations
@@ -31,12 +31,12 @@ from .common import mix, store, word_hashes
 
 #: Hash that stands for the end of a document, also the context of its first word.
 END = np.uint64(0x5D1F0C3B9A7E2468)
-#: Entries of a range, about, while one level is enough.
+#: Entries of a range, about.
 RANGE = 3_000_000
 #: Tokens of a block, about.
 BLOCK = 1_000_000
 #: Messages that a block or node sends on a level at most.
-FAN = 256
+FAN = 4096
 #: Bits of a hash that tell n-grams of two and more words apart; those of words have 64.
 _PAIR_BITS = np.uint64(2**64 - 2**8)
 
@@ -176,13 +176,13 @@ def _merged(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray,
     return keys, every, where, np.bincount(where, counts, len(every)).astype("<u4")
 
 
-def _send_on(fan: int, ranges: int):
+def _send_on(fan: int, team_of: int, ranges: int):
     """A node's messages to the next level."""
 
     def run(group: pa.Table) -> pa.Table:
         team, within, kind = (group.column(c)[0].as_py() for c in ("team", "range", "kind"))
         _, every, _, total = _merged(group)
-        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*_pieces(team // fan, team, kind, every, total, within, fan, ranges), strict=True), _MESSAGE_TYPE)], schema=_MESSAGE_TYPE)
+        return pa.table([pa.array(c, t.type) for c, t in zip(zip(*_pieces(team // team_of, team, kind, every, total, within, fan, ranges), strict=True), _MESSAGE_TYPE)], schema=_MESSAGE_TYPE)
 
     return run
 
@@ -211,22 +211,24 @@ def _pass_down(messages: pa.Table, answers: pa.Table) -> pa.Table:
 
 def corpus_counts(blocks: DataFrame, n_blocks: int, order: int, fan: int, ranges: int) -> tuple[DataFrame, DataFrame]:
     """Answers (child, range, kind, counts, ...), for each block the training counts of its n-grams in pieces by range, and those of the top."""
-    levels = 1
-    while fan**levels < n_blocks:
-        levels += 1
-    wide = fan if levels > 1 else ranges
+    fans = []
+    while ranges > fan:
+        fans.append(fan)
+        ranges = -(-ranges // fan)
+    fans.append(ranges)
     # Which blocks form a team is dealt by a hash; teams of teams follow.
     dealt = blocks.withColumn("home", F.pmod(F.xxhash64("block"), F.lit(max(1, n_blocks))))
-    sent = [dealt.mapInArrow(_send(order, wide, fan), _MESSAGE)]
-    node = ["team", "range", "kind"]
-    for level in range(1, levels):
+    sent = [dealt.mapInArrow(_send(order, fans[0], fan), _MESSAGE)]
+    node, divided = ["team", "range", "kind"], fans[0]
+    for more in fans[1:]:
+        divided *= more
         sent[-1] = store(sent[-1], "messages")
-        sent.append(sent[-1].groupBy(*node).applyInArrow(_send_on(fan, fan ** (level + 1)), _MESSAGE))
+        sent.append(sent[-1].groupBy(*node).applyInArrow(_send_on(more, fan, divided), _MESSAGE))
     # The last level is one team, whatever fell where by the hash.
     answers = store(sent.pop().withColumn("team", F.lit(0).cast("long")).groupBy(*node).applyInArrow(_add_up, _ANSWER), "answers")
     stats = answers
     while sent:
-        up = answers.select(F.col("child").alias("team"), F.floor(F.col("range") / fan).alias("within"), "kind", "range", "counts")
+        up = answers.select(F.col("child").alias("team"), F.floor(F.col("range") / fans.pop()).alias("within"), "kind", "range", "counts")
         answers = store(sent.pop().groupBy(*node).cogroup(up.groupBy("team", "within", "kind")).applyInArrow(_pass_down, _ANSWER), "answers")
     return answers, stats
 
@@ -333,7 +335,7 @@ def score_corpus(
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).cast("int").alias("held"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
     blocks = store(picked.mapInArrow(_cut(block), _BLOCKS), "blocks")
     n, entries, train = (x or 0 for x in blocks.agg(F.count("*"), F.sum(F.col("tokens") + F.col("words")), F.sum("trained")).first())
-    ranges = min(fan, max(1, -(-entries // RANGE), int(spark.conf.get("spark.sql.shuffle.partitions")) // 2))
+    ranges = max(1, -(-entries // RANGE), int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
     answers, stats = corpus_counts(blocks, n, order, fan, ranges)
     words, once, twice = (x or 0 for x in stats.where("kind = 1").agg(F.sum("known"), F.sum("once"), F.sum("twice")).first())
     discount = once / (once + 2 * twice) if once else 0.5

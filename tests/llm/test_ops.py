@@ -371,8 +371,10 @@ def test_secrets(spark, empty):
 
 
 @pytest.mark.parametrize("strengths, block, fan", [((), 10**6, 256), ((100.0,), 3000, 2), ((50.0, 5.0), 10**6, 256), ((50.0, 5.0), 2000, 3)])
-def test_language_model(docs, empty, strengths, block, fan):
+def test_language_model(docs, empty, strengths, block, fan, monkeypatch):
     """Against an automaton of dictionaries, walked word by word; small blocks and fans make a tree of several levels."""
+    if fan < 256:
+        monkeypatch.setattr(ngram_lm, "RANGE", 4000)  # ten ranges or so
     held = F.pmod(common.crc_of_id(), F.lit(7)) == 2
     trains = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 != 2
     tokens = {k: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for k, (_, t, *_) in enumerate(ROWS)}
