@@ -260,7 +260,8 @@ def test_agendas_alone_agree_with_library():
 # ------------------------------------------------------------------ embeddings
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL", 4)  # so that filters fall into several cells
     r = np.random.Generator(np.random.PCG64(6))
     rows = []
     for i in range(60):
@@ -289,7 +290,7 @@ def test_embeddings(spark):
 
 def test_list_decoding():
     r = np.random.Generator(np.random.PCG64(2))
-    code = embedding_dedup.ProductCode(24, blocks=3, code_size=12, height=2.0)
+    code = embedding_dedup.ProductCode(24, blocks=3, size=12)
     for _ in range(20):
         v = r.standard_normal(24)
         v /= np.linalg.norm(v)
@@ -299,16 +300,32 @@ def test_list_decoding():
         assert (code.decode(v) == want).all()
 
 
-def test_recall_at_the_threshold():
-    r = np.random.Generator(np.random.PCG64(12))
-    code, missed = embedding_dedup.ProductCode(64), 0
-    for _ in range(400):
-        a, b = r.standard_normal((2, 64))
-        a /= np.linalg.norm(a)
-        b -= (a @ b) * a
-        b = 0.98 * a + math.sqrt(1 - 0.98**2) * b / np.linalg.norm(b)
-        missed += not np.intersect1d(code.decode(a), code.decode(b)).size
-    assert missed <= 1
+@pytest.mark.parametrize("dims, vectors", [(8, 10**9), (64, 1000), (64, 10**6), (64, 10**9), (256, 10**7), (1024, 10**6)])
+def test_recall_at_the_threshold(dims, vectors):
+    """The code grows with the vectors; pairs at cosine 0.98 go on sharing a filter, and no vector's list grows."""
+    code, missed, held = embedding_dedup._made(dims, 2, embedding_dedup.code_size(vectors)), 0, []
+    for a, b in pairs_of_scale(np.ones(dims), 150, 12):
+        x, y = code.filters(a), code.filters(b)
+        held.append(len(x))
+        missed += not np.intersect1d(x, y).size
+    assert missed <= 1 and np.mean(held) < 3 * embedding_dedup.NEEDED
+    if dims >= 64:
+        assert math.prod(code.sizes) >= vectors * embedding_dedup.NEEDED / embedding_dedup.FILL
+
+
+def test_cells():
+    """Vectors of one group over several cells: every pair counts once, edges connect."""
+    r = np.random.Generator(np.random.PCG64(4))
+    for _ in range(50):
+        n = int(r.integers(1, 30))
+        linked = np.triu(r.random((n, n)) < r.choice([0.02, 0.1, 0.5]), 1)
+        linked |= linked.T
+        want = by_union(range(n), [(int(a), int(b)) for a, b in zip(*np.nonzero(linked))])
+        assert embedding_dedup.roots(linked).tolist() == [want[i] for i in range(n)]
+    a, b = (np.array(x) for x in ([[1, 2, -1], [3, 4, 5], [-1, -1, -1]], [[2, 9, -1], [6, -1, -1], [-1, -1, -1]]))
+    assert embedding_dedup.share_earlier(a, b).tolist() == [True, False, False]
+    for x in (np.array([0.5, -3.0]), np.array([0.1, 1e300])):
+        assert (embedding_dedup.unpack(embedding_dedup._pack(x)) == x).all()
 
 
 def pairs_of_scale(scale, n, seed):
