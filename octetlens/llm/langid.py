@@ -17,23 +17,29 @@ from .common import mix
 
 ORDERS = (1, 2, 3)
 BITS = 15
+#: Characters that are looked at at once.
+_SEGMENT = 1 << 20
 #: Label of texts without letters.
 UNDETERMINED = "und"
 
 
 def ngram_counts(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of the lower-cased text, and how often each occurs."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    every = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     counts = np.zeros(1 << bits, np.int64)
     with np.errstate(over="ignore"):
-        for n in ORDERS:
-            if len(c) < n:
-                break
-            h = np.full(len(c) - n + 1, n, np.uint64)
-            for k in range(n):
-                h = (h ^ c[k : len(c) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            counts += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        # Segments overlap by what the longest n-gram reaches over their end.
+        for at in range(0, len(every), _SEGMENT):
+            c = every[at : at + _SEGMENT + ORDERS[-1] - 1].astype(np.uint64)
+            for n in ORDERS:
+                size = min(_SEGMENT, len(c) - n + 1)
+                if size < 1:
+                    break
+                h = np.full(size, n, np.uint64)
+                for k in range(n):
+                    h = (h ^ c[k : size + k]) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                counts += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -131,16 +137,20 @@ def calibrate(model: LanguageModel, rows: list) -> None:
 
 
 def train_language_model(
-    docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 4000,
+    docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000,
     alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 1e-4, epochs: int = 3, bits: int = BITS,
 ) -> LanguageModel:
     """Fits on rows where ``train`` holds and the language is known.
 
-    Document frequencies come from all of them; the weights from about ``sample_rows`` chosen by a hash of the
-    identifier, a fifth of which is kept for the temperature. Without such rows the model knows no label.
+    Document frequencies come from all of them; the weights from about ``sample_rows`` distinct texts, shared out evenly among
+    the languages and chosen by a hash of text and language, so that a rare language is learnt from all its rows. A fifth
+    is kept for the temperature, but for languages that have no other row. Rows that are equal in text and language count
+    once in the fit; a text of several languages is an example of each. The order of rows doesn't matter. A null text is
+    empty. A text of any length is counted in segments. Without such rows the model knows no label.
     """
-    known = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("label"), F.col(id_col).alias("id"))
-    total = known.count()
+    known = docs.where(train & F.col(lang_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("label"))
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # a row for each language
+    total = sum(sizes.values())
     if not total:
         return LanguageModel([], np.zeros(1 << bits), np.zeros((1 << bits, 0)), np.zeros(0))
     counted = known.select("text").mapInArrow(_frequencies(bits), "feature long, n long").groupBy("feature").agg(F.sum("n")).collect()
@@ -149,21 +159,26 @@ def train_language_model(
         if feature >= 0:
             df[feature] = n
     idf = np.where(df > 0, np.log((1 + total) / (1 + df)) + 1, 0.0)
-    part = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000))
-    chosen = known.where(part < int(1_000_000 * min(1.0, sample_rows / total)) + 1)
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(5)).cast("int").alias("fold")
-    rows = chosen.select("text", "label", fold, "id").orderBy("id").drop("id").mapInArrow(_examples(bits), "label string, fold int, at binary, n binary").collect()
+    draw = F.xxhash64("text", "label")
+    share = F.create_map(*[F.lit(y) for x, n in sorted(sizes.items()) for y in (x, int(1_000_000 * min(1.0, sample_rows / len(sizes) / n)) + 1)])
+    chosen = known.where(F.pmod(draw, F.lit(1_000_000)) < share[F.col("label")]).dropDuplicates(["text", "label"])
+    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(5)).cast("int").alias("fold")
+    rows = chosen.select("text", "label", fold, draw.alias("draw")).orderBy("draw", "text", "label").drop("draw").mapInArrow(_examples(bits), "label string, fold int, at binary, n binary").collect()
     labels = sorted({r.label for r in rows})
     number = {x: i for i, x in enumerate(labels)}
     made = [(number[r.label], np.frombuffer(r.at, "<u4").astype(np.int64), np.frombuffer(r.n, "<u4").astype(float)) for r in rows]
-    fit, aside = [m for m, r in zip(made, rows) if r.fold], [m for m, r in zip(made, rows) if not r.fold]
-    model = fit_ftrl(fit or made, labels, idf, alpha, beta, l1, l2, epochs)
+    fitted = {m[0] for m, r in zip(made, rows) if r.fold}
+    fit, aside = [m for m, r in zip(made, rows) if r.fold or m[0] not in fitted], [m for m, r in zip(made, rows) if not r.fold and m[0] in fitted]
+    model = fit_ftrl(fit, labels, idf, alpha, beta, l1, l2, epochs)
     calibrate(model, aside)
     return model
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """For every document: (id, lang_pred, score). A null text, or one without letters, is ``und`` with score 0."""
+    """For every document: (id, lang_pred, score). A null text, or one without letters, is ``und`` with score 0.
+
+    Equal texts get equal answers; of languages that tie the first by name. Rows that repeat others stay rows of their own.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits features for each label
 
     def run(batches):

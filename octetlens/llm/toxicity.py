@@ -1,11 +1,14 @@
 """Toxicity: a classifier regularised by counterfactuals.
 
 Identity terms of labelled texts are swapped for others of their group; a text and its counterfactual should score
-alike, so the squared difference of their logits joins the loss. Mentioning a group then adds nothing to the score.
+alike, so the squared difference of their logits joins the loss. Labelled texts are short of such terms, or hold them in
+toxic ones only, so a share of the texts without any is given one: chosen by a digest of the text, whatever the label, and
+with a counterfactual that has another term of the group, or none. Mentioning a group then adds nothing to the score.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import mix, powers
 
@@ -143,35 +147,50 @@ def calibrate(model: ToxicityModel, rows: list, rounds: int = 200) -> None:
         model.slope, model.shift = float(t[0]), float(t[1])
 
 
-def _examples(bits: int, groups):
+def example(text: str, mentions: float, bits: int = BITS, groups=IDENTITY_GROUPS) -> tuple[np.ndarray, np.ndarray | None]:
+    """Features of a text, and of its counterfactual; a share ``mentions`` of the texts without identity terms gets one."""
+    here = features(text, bits)
+    if (swapped := counterfactual(text, groups) if text else None) is not None:
+        return here, features(swapped, bits)
+    draw = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    if not groups or draw % 1000 >= 1000 * mentions:
+        return here, None
+    draw //= 1000
+    group = groups[draw % len(groups)]
+    draw //= len(groups)
+    term, other = group[draw % len(group)], group[(draw + 1) % len(group)]
+    there = here if draw // len(group) % 2 else np.union1d(here, features(other, bits))
+    return np.union1d(here, features(term, bits)), there
+
+
+def _examples(mentions: float, bits: int, groups):
     def run(batches):
         for batch in batches:
-            here, there = [], []
-            for t in batch.column(0).to_pylist():
-                here.append(features(t or "", bits).astype("<u4").tobytes())
-                swapped = counterfactual(t, groups) if t else None
-                there.append(None if swapped is None else features(swapped, bits).astype("<u4").tobytes())
+            made = [example(t or "", mentions, bits, groups) for t in batch.column(0).to_pylist()]
+            here, there = ([None if x is None else x.astype("<u4").tobytes() for x in xs] for xs in zip(*made)) if made else ([], [])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(here, pa.binary()), pa.array(there, pa.binary())], names=["label", "fold", "at", "other"])
 
     return run
 
 
 def train_toxicity(
-    labelled: DataFrame, sample_rows: int = 12000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
-    alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, fairness: float = 1.0, epochs: int = 4, bits: int = BITS, groups=IDENTITY_GROUPS,
+    labelled: DataFrame, sample_rows: int = 12000, text_col: str = "text", label_col: str = "toxic",
+    alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, fairness: float = 1.0, mentions: float = 0.25, epochs: int = 4, bits: int = BITS, groups=IDENTITY_GROUPS,
 ) -> ToxicityModel:
-    """Fits on about ``sample_rows`` labelled rows chosen by a hash of the identifier; a fifth is kept to calibrate.
+    """Fits on about ``sample_rows`` distinct labelled texts chosen by a hash of text and label; a fifth is kept to calibrate.
 
-    Rows without label are left out. Without labelled rows every text scores one half.
+    Rows that are equal in text and label count once, so that a group of copies doesn't outweigh the rest; a text with both
+    labels is an example of each. A null text is empty. Rows without label are left out. ``mentions`` is the share of texts
+    without identity terms that get one. The order of rows doesn't matter. Without labelled rows every text scores one half.
     """
-    known = labelled.where(F.col(label_col).isNotNull()).select(F.col(text_col).alias("text"), (F.col(label_col) > 0).cast("int").alias("label"), F.col(id_col).alias("id"))
-    total = known.select("id", "label").count()
+    known = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) > 0).cast("int").alias("label"))
+    total = known.select("label").count()
     if not total:
         return ToxicityModel(np.zeros(1 << bits, np.float32), 0.0)
-    part = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000))
-    chosen = known.where(part < int(1_000_000 * min(1.0, sample_rows / total)) + 1)
-    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(5)).cast("int").alias("fold")
-    coded = chosen.select("text", "label", fold, "id").orderBy("id").drop("id").mapInArrow(_examples(bits, groups), "label int, fold int, at binary, other binary")
+    draw = F.xxhash64("text", "label")
+    chosen = known.where(F.pmod(draw, F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / total)) + 1).dropDuplicates(["text", "label"])
+    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(5)).cast("int").alias("fold")
+    coded = chosen.select("text", "label", fold, draw.alias("draw")).orderBy("draw", "text", "label").drop("draw").mapInArrow(_examples(mentions, bits, groups), "label int, fold int, at binary, other binary")
     made, folds = [], []
     for r in coded.toLocalIterator():
         made.append((r.label, np.frombuffer(r.at, "<u4").astype(np.int32), None if r.other is None else np.frombuffer(r.other, "<u4").astype(np.int32)))
@@ -185,19 +204,19 @@ def train_toxicity(
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, keep: bool = False) -> DataFrame:
     """For every document: (id, score, predicted), or with ``keep`` all its columns and these, in place of any of that name.
 
-    Empty and null texts get the score of a text without words.
+    Empty and null texts get the score of a text without words. Rows that repeat others stay rows of their own, and equal
+    texts score alike.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits weights
 
     def run(batches):
         for batch in batches:
-            scores = np.array([shared.value.score(t.as_py(), bits) for t in batch.column(batch.schema.get_field_index("_text"))])
-            columns = [c for c, name in zip(batch.columns, batch.schema.names) if name != "_text"]
-            names = [name for name in batch.schema.names if name != "_text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
-
-    picked = docs if keep else docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias("_text"))
-    if keep:
-        picked = docs.drop("score", "predicted").withColumn("_text", F.col(text_col))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "_text"]
-    return picked.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
+            scores = np.array([shared.value.score(t.as_py(), bits) for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
+
+    # All columns travel as one, so that no name of theirs can clash.
+    names = [c for c in docs.columns if c not in ("score", "predicted")] if keep else []
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if keep else F.struct(F.col(id_col).cast("long").alias(id_col))
+    picked = docs.select(row.alias("row"), F.col(text_col).alias("text"))
+    fields = StructType([picked.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return picked.mapInArrow(run, fields).select("row.*", "score", "predicted")

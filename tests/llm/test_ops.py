@@ -447,6 +447,93 @@ def test_language_model_keeps_identifiers(spark):
 # ------------------------------------------------------------------ classifiers
 
 
+def plain_ftrl(rows, classes, order, alpha, beta, l1, l2, epochs, loss):
+    """Follow-the-regularised-leader on dictionaries, one coordinate after the other; ``loss`` gives the gradients of a row's steps."""
+    z, n = Counter(), Counter()
+
+    def weight(key):
+        if abs(z[key]) <= l1:
+            return 0.0
+        return -(z[key] - math.copysign(l1, z[key])) / ((beta + math.sqrt(n[key])) / alpha + l2)
+
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            for gradients in loss(rows[i], weight):
+                for key, g in gradients().items():
+                    w = weight(key)
+                    z[key] += g - (math.sqrt(n[key] + g * g) - math.sqrt(n[key])) / alpha * w
+                    n[key] += g * g
+    return weight
+
+
+def test_language_fit_against_plain_ftrl():
+    r = np.random.Generator(np.random.PCG64(5))
+    idf, rows = r.random(40) + 0.5, []
+    for _ in range(30):
+        at = np.sort(r.choice(40, 8, replace=False))
+        rows.append((int(r.integers(3)), at, r.integers(1, 5, 8).astype(float)))
+    model = langid.fit_ftrl(rows, ["a", "b", "c"], idf, 1.0, 1.0, 0.3, 0.01, 3)
+
+    def loss(row, weight):
+        label, at, count = row
+        x = {int(i): (1 + math.log(c)) * idf[i] for i, c in zip(at, count)}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        x = {i: v / norm for i, v in x.items()} | {40: 1.0}
+        score = [sum(v * weight((i, k)) for i, v in x.items()) for k in range(3)]
+        p = [math.exp(s - max(score)) for s in score]
+        yield lambda: {(i, k): v * (p[k] / sum(p) - (k == label)) for i, v in x.items() for k in range(3)}
+
+    weight = plain_ftrl(rows, 3, np.random.Generator(np.random.PCG64(3)), 1.0, 1.0, 0.3, 0.01, 3, loss)
+    want = np.array([[weight((i, k)) for k in range(3)] for i in range(41)])
+    assert np.allclose(model.weights, want[:-1], atol=1e-9) and np.allclose(model.bias, want[-1], atol=1e-9)
+    assert 0 < (want == 0).mean() < 1
+
+
+def test_toxicity_fit_against_plain_ftrl():
+    r = np.random.Generator(np.random.PCG64(6))
+    rows = []
+    for k in range(30):
+        at = np.sort(r.choice(40, 8, replace=False))
+        other = np.union1d(at[2:], r.choice(40, 2)) if k % 3 else None
+        rows.append((int(r.integers(2)), at, other))
+    for fairness in (0.0, 0.5):
+        model = toxicity.fit(rows, 40, 0.5, 1.0, 0.2, 0.1, fairness, 3)
+
+        def loss(row, weight, fairness=fairness):
+            label, at, other = row
+            here = [*map(int, at), 40]
+            p = 1 / (1 + math.exp(-sum(map(weight, here))))
+            yield lambda: {i: p - label for i in here}
+            if other is not None and fairness:
+                mine, theirs = ({*map(int, a)} - {*map(int, b)} for a, b in ((at, other), (other, at)))
+                apart = sum(map(weight, mine)) - sum(map(weight, theirs))
+                yield lambda: {i: 2 * fairness * apart for i in mine} | {i: -2 * fairness * apart for i in theirs}
+
+        weight = plain_ftrl(rows, 2, np.random.Generator(np.random.PCG64(11)), 0.5, 1.0, 0.2, 0.1, 3, loss)
+        assert np.allclose([*model.weights, model.bias], [weight(i) for i in range(41)], atol=1e-6)
+
+
+def test_counterfactuals_lower_false_alarms(spark):
+    """A group that training texts mention in toxic ones only: with the penalty neutral mentions score lower."""
+    r, rows = random.Random(4), []
+    for i in range(500):
+        w = prose(20, r).split()
+        toxic = i % 4 == 0
+        if toxic:
+            w[r.randrange(20)] = r.choice(["idiot", "moron", "scum"])
+        if toxic and r.random() < 0.7:
+            w[r.randrange(20)] = "muslims"
+        rows.append((i, " ".join(w), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    fair, plain = (toxicity.train_toxicity(df, fairness=f, mentions=m, l1=1.0) for f, m in ((1.0, 0.25), (0.0, 0.0)))
+    quiet = [prose(20, r) + " muslims" for _ in range(60)]
+    at = toxicity.features("muslims")
+    assert abs(fair.weights[at].sum()) < 0.5 * abs(plain.weights[at].sum())
+    assert np.mean([fair.score(t) for t in quiet]) < 0.7 * np.mean([plain.score(t) for t in quiet])
+    given = [toxicity.example(t, 0.25) for _, t, y in rows if not y]
+    assert 0.1 < np.mean([o is not None for _, o in given]) < 0.4 and not all(len(a) > len(o) for a, o in given if o is not None)
+
+
 def test_language_id(spark, docs, empty):
     r = random.Random(1)
     parts = {"en": ["the", "th", "ing", "ou", "er"], "de": ["sch", "ung", "ei", "der", "ü"], "es": ["ción", "os", "que", "ll", "ñ"]}
@@ -480,6 +567,8 @@ def test_toxicity(spark, docs, empty):
     assert len(got) == 602 and all(0 <= q.score <= 1 for q in got.values())
     for a, b in (("many women work here", "many men work here"), ("a muslim neighbour", "a christian neighbour")):
         assert abs(model.score(a) - model.score(b)) < 0.05
+    mine = docs.withColumn("_text", F.lit(1)).withColumn("row", F.lit(2))
+    assert toxicity.score_toxicity(mine, model, keep=True).columns == [c for c in mine.columns if c != "score"] + ["score", "predicted"]
     kept = toxicity.score_toxicity(docs, model, keep=True)
     assert sorted(kept.columns) == sorted([*docs.columns, "predicted"]) and len(kept.collect()) == len(ROWS)
     assert toxicity.score_toxicity(empty, toxicity.train_toxicity(df.limit(0))).count() == 0
