@@ -1,4 +1,8 @@
-"""Class models of the two Western charsets without a language model, from character names instead of tables."""
+"""Class models of the two Western charsets without a language model.
+
+Their values are fixed. A byte's class follows from its character's Unicode name by one rule, so the two tables of 256 are
+built from it; the bytes below are the exceptions.
+"""
 
 from __future__ import annotations
 

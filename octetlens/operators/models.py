@@ -1,19 +1,20 @@
 """Language models of the statistical probers: a pack of plain arrays that can be replaced.
 
-The built-in pack is trained from the names that every Java runtime carries for its locales and, where its file is at hand,
-from the vocabulary of a tokenizer for many languages, whose order tells how frequent a piece is. Structure and formulas
-of the probers don't depend on the pack, numbers of their confidences do.
+The built-in pack is a file beside this module, the same wherever it runs. It was trained by ``train_from_names`` from the
+names that a Java runtime carries for its locales and from the vocabulary of a tokenizer for many languages, whose order
+tells how frequent a piece is. Structure and formulas of the probers don't depend on the pack, numbers of their confidences do.
 """
 
 from __future__ import annotations
 
 import base64
-import importlib.util
-import pickle
+import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -63,8 +64,9 @@ SCRIPTS = {
     "zh-TW": ("一-龥", 0.9, "", ""),
     "ko": ("가-힣", 0.8, "", ""),
 }
-#: A tokenizer's vocabulary for many languages: base64 of a piece and its rank in each line.
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Version of the built-in pack, and of the form packs are saved in.
+VERSION, FORM = "1", 1
+BUILT_IN = os.path.join(os.path.dirname(os.path.abspath(__file__)), f"pack-{VERSION}.npz")
 Words = Mapping[str, float] | Iterable[str]
 
 
@@ -86,6 +88,14 @@ class Pack:
     ratio: dict[str, float] = field(default_factory=dict)
     kana: np.ndarray = field(default_factory=lambda: np.zeros((83, 83), np.int8))
 
+    def often(self, charset: str) -> np.ndarray:
+        """Of each pair of bytes, first times 256 plus second: whether it is a frequent character."""
+        made = self.__dict__.setdefault("_often", {})
+        if charset not in made:
+            made[charset] = np.zeros(65536, bool)
+            made[charset][[a * 256 + b for a, b in self.frequent.get(charset, ())]] = True
+        return made[charset]
+
 
 def held_out_share(words: Counter, contrast: Mapping[str, float] | None = None) -> float:
     """The share of frequent pairs, likely ones by a quarter, in words that the ranks weren't made from; 1 without pairs."""
@@ -246,27 +256,38 @@ def latin_pairs(pieces: list[str]) -> dict[str, float] | None:
     return {p: n / total for p, n in pairs.items()} or None
 
 
-_built: dict[str | None, Pack] = {}
+def train_from_names(spark, vocabulary: str | None = None) -> Pack:
+    """A pack from the Java runtime's names and a vocabulary: a file with base64 of a piece and its rank in each line."""
+    pieces = vocabulary_pieces(vocabulary) if vocabulary else []
+    zones, paired = zone_ids(spark), {x[3] for x in SINGLE_BYTE}
+    corpora = {tag: blend(tag, locale_names(spark, tag, zones if tag in paired else ()), pieces) for tag in SCRIPTS}
+    return train_pack(corpora, latin_pairs(pieces))
 
 
-def builtin_pack(spark, vocabulary: str | None = None) -> Pack:
-    """The pack trained from the Java runtime's names and a vocabulary, once in a process.
+def save_pack(pack: Pack, path: str) -> None:
+    """Write a pack as a file of named arrays, without code."""
+    names = {"form": FORM, "single": [[m.charset, m.language, m.ratio, m.keep_ascii] for m in pack.single], "ratio": pack.ratio}
+    arrays = {"kana": pack.kana, "names": np.frombuffer(json.dumps(names, sort_keys=True).encode(), np.uint8)}
+    for k, m in enumerate(pack.single):
+        arrays |= {f"is_char_{k}": m.is_char, f"is_freq_{k}": m.is_freq, f"category_{k}": m.category}
+    for charset, characters in pack.frequent.items():
+        arrays[f"frequent_{charset}"] = np.array(sorted(a * 256 + b for a, b in characters), np.uint16)
+    with open(path, "wb") as out:
+        np.savez_compressed(out, **arrays)
 
-    ``vocabulary`` is the path of a file as VOCABULARY; without one, that of the package of public tokenizers is taken if
-    the driver has it, and names alone otherwise.
-    """
-    if vocabulary is None and importlib.util.find_spec("public_tokenizers"):
-        import public_tokenizers
 
-        vocabulary = public_tokenizers.path(VOCABULARY)
-    if vocabulary not in _built:
-        pieces = vocabulary_pieces(vocabulary) if vocabulary else []
-        zones, paired = zone_ids(spark), {x[3] for x in SINGLE_BYTE}
-        corpora = {tag: blend(tag, locale_names(spark, tag, zones if tag in paired else ()), pieces) for tag in SCRIPTS}
-        _built[vocabulary] = train_pack(corpora, latin_pairs(pieces))
-    return _built[vocabulary]
+def load_pack(path: str) -> Pack:
+    """Read a pack that ``save_pack`` wrote. ValueError for another form."""
+    with np.load(path, allow_pickle=False) as a:
+        names = json.loads(a["names"].tobytes())
+        if names["form"] != FORM:
+            raise ValueError(f"{path} is a pack of form {names['form']}, not {FORM}")
+        single = [SingleByteModel(*row, a[f"is_char_{k}"], a[f"is_freq_{k}"], a[f"category_{k}"]) for k, row in enumerate(names["single"])]
+        frequent = {c: {bytes(divmod(int(x), 256)) for x in a[f"frequent_{c}"]} for c in names["ratio"]}
+        return Pack(single, frequent, names["ratio"], a["kana"])
 
 
-def save_pack(pack: Pack, path: str) -> None:
-    with open(path, "wb") as out:
-        pickle.dump(pack, out)
+@lru_cache(1)
+def builtin_pack() -> Pack:
+    """The fixed pack that comes with this package."""
+    return load_pack(BUILT_IN)

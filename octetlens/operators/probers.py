@@ -23,12 +23,17 @@ MINIMUM = 0.20
 _WORDS = regex.compile(rb"[a-zA-Z]*+[\x80-\xff]++[a-zA-Z]*+[^a-zA-Z\x80-\xff]?")
 _OUTSIDE = regex.compile(rb"(?:(?<=>)|\A)([^<>]++)(?=<)")
 _LAST = regex.compile(rb"(?:(?<=>)|\A)([^<>]*+)\Z")
+#: Bytes that end a word without being part of one.
+_MARKER = np.array([b < 0x80 and not chr(b).isalpha() for b in range(256)])
 _ASCII_RUN = regex.compile(rb"[\x00-\x7f]+")
 
 
 def international_words(data: bytes) -> bytes:
-    ends = (w if w[-1] >= 0x80 or w[-1:].isalpha() else w[:-1] + b" " for w in _WORDS.findall(data))
-    return b"".join(ends)
+    words = _WORDS.findall(data)
+    out = np.frombuffer(b"".join(words), np.uint8).copy()
+    last = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) - 1
+    out[last[_MARKER[out[last]]]] = 0x20
+    return out.tobytes()
 
 
 def strip_tags(data: bytes) -> bytes:
@@ -91,12 +96,17 @@ def _euc_kr_of_johab() -> set:
 _JOHAB: list[np.ndarray] = []
 
 
-def _johab(a, b):
+def johab_counted() -> np.ndarray:
+    """Of each pair of bytes, first times 256 plus second: whether it is a Johab character that counts."""
     if not _JOHAB:
         table = np.zeros(65536, bool)
         table[list(_euc_kr_of_johab())] = True
         _JOHAB.append(table)
-    return _JOHAB[0][a * 256 + b]
+    return _JOHAB[0]
+
+
+def _johab(a, b):
+    return johab_counted()[a * 256 + b]
 
 
 #: Which two-byte characters count, by lead and trail.
@@ -118,6 +128,12 @@ _ANY = {c: regex.compile(_bytes_pattern(f"{a}|{b}")) for c, (a, b) in GRAMMAR.it
 _GB_FOUR = regex.compile(_bytes_pattern(GB_FOUR))
 
 
+def legal_tokens(charset: str, data: bytes) -> tuple[int, list[bytes]]:
+    """Length of the legal beginning, and its two-byte characters."""
+    end = _LEGAL[charset].match(data).end()
+    return end, [t for t in _LONGER[charset].findall(data, 0, end) if len(t) == 2]
+
+
 class MultiByte:
     group = "mb"
 
@@ -134,14 +150,12 @@ class MultiByte:
         if self.state == NOT_ME:
             return self.state
         data = self.carry + chunk
-        end = _LEGAL[self.name].match(data).end()
-        tokens = [t for t in _LONGER[self.name].findall(data, 0, end) if len(t) == 2]
+        end, tokens = legal_tokens(self.name, data)
         if tokens:
             pairs = np.frombuffer(b"".join(tokens), np.uint8).reshape(-1, 2).astype(np.int64)
             counted = COUNTED[self.name](pairs[:, 0], pairs[:, 1])
             self.total += int(counted.sum())
-            frequent = pack.frequent.get(self.name, ())
-            self.freq += sum(1 for t, ok in zip(tokens, counted.tolist()) if ok and t in frequent)
+            self.freq += int((counted & pack.often(self.name)[pairs[:, 0] * 256 + pairs[:, 1]]).sum())
         if self.kana:
             self.kana.feed(data, end, len(self.carry), pack)
         self.carry = data[end:]
@@ -286,10 +300,10 @@ class Hebrew:
             self.state = NOT_ME
             return self.state
         data = self.carry + _ASCII_RUN.sub(b" ", streams["raw"])
+        # What the kept bytes show by themselves isn't counted again.
+        self.score -= len(self._logical.findall(self.carry)) - len(self._visual.findall(self.carry))
         self.score += len(self._logical.findall(data)) - len(self._visual.findall(data))
         self.carry = data[-2:]
-        # What the kept bytes already showed isn't counted again.
-        self.score -= len(self._logical.findall(self.carry)) - len(self._visual.findall(self.carry))
         self.apart = (lambda a, b: a - b)(*(p.confidence(pack) for p in self.pair)) if all(self.pair) else 0.0
         return DETECTING
 

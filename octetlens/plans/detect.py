@@ -16,6 +16,7 @@ from ..functions import bytesx as B
 from ..functions import grammar as G
 from ..operators.detector import ALL, Detector
 from ..operators.models import Pack, builtin_pack
+from ..shipping import ship
 
 RESULT = B.RESULT
 #: Behind a mark the encoding is certain; from this many longer characters on, UTF-8 is.
@@ -46,6 +47,17 @@ def decided(content: Column) -> Column:
     )
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that the table doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def _probe(pack: Pack, lang_filter: int, rename_legacy: bool):
     def probe(batches):
         for contents in batches:
@@ -66,12 +78,14 @@ def _probe(pack: Pack, lang_filter: int, rename_legacy: bool):
 def detect(df: DataFrame, content: str = "content", lang_filter: int = ALL, rename_legacy: bool = False, pack: Pack | None = None, into: str = "detected") -> DataFrame:
     """Adds the struct (encoding, confidence, language) of each byte string. A null byte string gives a null struct."""
     B.require_binary(df, content)
-    pack = pack or builtin_pack(df.sparkSession)
-    known = df.withColumn("_decided", decided(F.col(content)))
+    ship(df.sparkSession)
+    pack = pack or builtin_pack()
+    early, late = unused(df, "early", "late")
+    known = df.withColumn(early, decided(F.col(content)))
     probe = _probe(pack, lang_filter, rename_legacy)
-    probed = known.withColumn("_probed", probe(F.when(F.col("_decided").isNull(), F.col(content))))
-    answer = F.when(F.col(content).isNull(), F.lit(None).cast(RESULT)).otherwise(F.coalesce("_decided", "_probed"))
-    return probed.withColumn(into, answer).drop("_decided", "_probed")
+    probed = known.withColumn(late, probe(F.when(F.col(early).isNull(), F.col(content))))
+    answer = F.when(F.col(content).isNull(), F.lit(None).cast(RESULT)).otherwise(F.coalesce(early, late))
+    return probed.withColumn(into, answer).drop(early, late)
 
 
 def detect_all(df: DataFrame, content: str = "content", ignore_threshold: bool = False, rename_legacy: bool = False, pack: Pack | None = None, into: str = "candidates") -> DataFrame:
@@ -81,7 +95,8 @@ def detect_all(df: DataFrame, content: str = "content", ignore_threshold: bool =
     that has the probers run again.
     """
     B.require_binary(df, content)
-    pack = pack or builtin_pack(df.sparkSession)
+    ship(df.sparkSession)
+    pack = pack or builtin_pack()
 
     def probe(batches):
         for contents in batches:
@@ -97,17 +112,48 @@ def detect_all(df: DataFrame, content: str = "content", ignore_threshold: bool =
             yield pd.Series(out)
 
     probe.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    known = df.withColumn("_early", decided(F.col(content)))
+    early, every = unused(df, "early", "every")
+    known = df.withColumn(early, decided(F.col(content)))
     # Sure UTF-8 is an answer, but its other candidates have to be counted.
-    needs = F.col("_early").isNull() | (F.col("_early.encoding") == "utf-8")
-    found = known.withColumn("_all", F.pandas_udf(probe, f"array<{RESULT}>")(F.when(needs, F.col(content))))
-    return found.withColumn(into, F.when(F.col(content).isNotNull(), F.coalesce("_all", F.array("_early")))).drop("_early", "_all")
+    needs = F.col(early).isNull() | (F.col(early)["encoding"] == "utf-8")
+    found = known.withColumn(every, F.pandas_udf(probe, f"array<{RESULT}>")(F.when(needs, F.col(content))))
+    return found.withColumn(into, F.when(F.col(content).isNotNull(), F.coalesce(every, F.array(early)))).drop(early, every)
+
+
+def detect_lines(df: DataFrame, content: str = "content", rename_legacy: bool = False, pack: Pack | None = None, into: str = "detected") -> DataFrame:
+    """Adds the struct as ``detect`` does, but of contents read line by line and no further than needed.
+
+    Each line, with its line feed, is a chunk of its own, so that the answer can differ from that of one feed. A null byte
+    string gives a null struct. A row is a document, whatever other columns repeat, and nothing is shuffled.
+    """
+    B.require_binary(df, content)
+    ship(df.sparkSession)
+    pack = pack or builtin_pack()
+
+    def probe(batches):
+        for contents in batches:
+            yield pd.DataFrame([by_lines(bytes(x) if x is not None else b"", pack, rename_legacy) for x in contents], columns=["encoding", "confidence", "language"])
+
+    probe.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    return df.withColumn(into, F.when(F.col(content).isNotNull(), F.pandas_udf(probe, RESULT)(F.col(content))))
+
+
+def by_lines(content: bytes, pack: Pack, rename_legacy: bool = False) -> tuple:
+    """Answer of a detector that is fed line after line until it is sure."""
+    d, at = Detector(ALL, rename_legacy), 0
+    while at < len(content):
+        end = content.find(b"\n", at) + 1 or len(content)
+        if d.feed(content[at:end], pack):
+            break
+        at = end
+    return d.close(pack)
 
 
 def explain_probers(df: DataFrame, id_col: str, content: str = "content", pack: Pack | None = None) -> DataFrame:
     """A row for each document with high bytes and prober: group, rank, charset, language, state, confidence."""
     B.require_binary(df, content)
-    pack = pack or builtin_pack(df.sparkSession)
+    ship(df.sparkSession)
+    pack = pack or builtin_pack()
     high = df.where(B.has_high_byte(B.latin(F.col(content)))).select(F.col(id_col).cast("long").alias("id"), F.col(content).alias("content"))
 
     def run(batches):

@@ -6,7 +6,7 @@ up to U+00FF are these bytes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bytesx as B
@@ -15,9 +15,13 @@ from ..functions.languages import LANGUAGES, catalogue
 from ..functions.renames import ISO_TO_WINDOWS, LEGACY, renamed
 from ..operators.classes import class_model, latin1_classes, macroman_classes
 from ..operators.training import count_units, rank_pairs
+from ..shipping import read_table
 from ..sources.files import detect_files, report
 from ..streaming.incremental import detect_chunks
+from .counts import count_bytes, count_tokens
 from .detect import detect, detect_all, explain_probers, utf8_chars, utf8_confidence
+from .oracle import LATIN_VIEW, UTF8_VIEW, detection_sql
+from .western import western_sql
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -33,7 +37,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return read_table(spark, sf_dir, "documents")
 
 
 def _utf8(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -46,18 +50,25 @@ def _latin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.encode(text, "ISO-8859-1").alias("content"))
 
 
-
-
 def L():  # noqa: N802
     return B.latin(F.col("content"))
 
 
-_TEXT = r"regexp_replace(coalesce(text, ''), '[^\x00-\xff]', '?', 'g')"
-_MB = r"length(regexp_replace(coalesce(text, ''), '[\x00-\x7f]', '', 'g'))"
-_ODD = "regexp_matches(coalesce(text, ''), '[\\x{10000}-\\x{1FFFF}\\x0e\\x0f\\x1b]')"
+_TEXT = LATIN_VIEW.format("text")
+#: What a text's UTF-8 bytes hold before the first that the grammar refuses.
+_LEGAL = r"regexp_extract(coalesce(text, ''), '^[^\x0e\x0f\x1b\x{10000}-\x{1FFFF}]*')"
+_MB = rf"length(regexp_replace({_LEGAL}, '[\x00-\x7f]', '', 'g'))"
 _CONF = f"CASE WHEN {_MB} < 6 THEN 1e0 - 0.99e0 * pow(0.5e0, {_MB}) ELSE 0.99e0 END"
 
 
+def _answers(source: str, name: str = "doc_id") -> str:
+    return detection_sql(source, f"SELECT id AS {name}, encoding, confidence, language FROM answers")
+
+
+_UTF8_DOCS = f"SELECT doc_id AS id, {UTF8_VIEW.format('text')} AS b FROM documents"
+_LATIN_DOCS = f"SELECT doc_id AS id, {_TEXT} AS b FROM documents"
+
+
 @query("SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents")
 def q_bytes_len(spark, sf_dir):
     chars = F.length(F.coalesce(F.col("text"), F.lit("")))
@@ -86,75 +97,44 @@ def q_bom(spark, sf_dir):
     return detect(marked).select("doc_id", "detected.*")
 
 
-@query(f"SELECT doc_id, {_MB}::BIGINT AS n_mb, {_CONF} AS utf8_conf FROM documents WHERE NOT {_ODD}")
+@query(f"SELECT doc_id, {_MB}::BIGINT AS n_mb, {_CONF} AS utf8_conf FROM documents")
 def q_utf8_mb_chars(spark, sf_dir):
-    docs = _utf8(spark, sf_dir).where(~G.illegal(L(), "utf-8")).select("doc_id", utf8_chars(L()).cast("long").alias("n_mb"))
+    """Longer characters of the legal beginning."""
+    docs = _utf8(spark, sf_dir).select("doc_id", utf8_chars(L()).cast("long").alias("n_mb"))
     return docs.withColumn("utf8_conf", utf8_confidence(F.col("n_mb")))
 
 
-_SURE = f"""SELECT doc_id, lang, CASE WHEN coalesce(text, '') = '' THEN NULL WHEN {_MB} = 0 THEN 'ascii' ELSE 'utf-8' END AS encoding,
-CASE WHEN coalesce(text, '') = '' THEN 0e0 WHEN {_MB} = 0 THEN 1e0 ELSE 0.99e0 END AS confidence,
-CASE WHEN coalesce(text, '') = '' THEN NULL ELSE '' END AS language FROM documents WHERE ({_MB} = 0 OR {_MB} >= 5) AND NOT {_ODD} AND NOT contains(coalesce(text, ''), '~{{')"""
-
-
-def _sure(spark, sf_dir):
-    docs = _utf8(spark, sf_dir, "lang").where((~B.has_high_byte(L()) & ~B.has_escape(L())) | (~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5) & ~L().contains("~{")))
-    return detect(docs).select("doc_id", "lang", "detected.*")
-
-
-def _by_lang(found: DataFrame) -> DataFrame:
-    return found.groupBy("lang", "encoding").agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
-
-
-@query(_SURE)
+@query(detection_sql(f"SELECT doc_id AS id, {UTF8_VIEW.format('text')} AS b FROM documents", "SELECT id AS doc_id, lang, a.encoding, a.confidence, a.language FROM answers a JOIN documents ON doc_id = id"))
 def q_utf8_detect(spark, sf_dir):
-    """Of the rows SQL can answer; all documents are in q_detect."""
-    return _sure(spark, sf_dir)
+    return detect(_utf8(spark, sf_dir, "lang")).select("doc_id", "lang", "detected.*")
 
 
-@query(f"SELECT lang, encoding, count(*)::BIGINT AS n, min(confidence) AS least, max(confidence) AS most FROM ({_SURE}) GROUP BY lang, encoding")
+@query(detection_sql(_UTF8_DOCS, "SELECT lang, encoding, count(*)::BIGINT AS n, min(confidence) AS least, max(confidence) AS most FROM answers JOIN documents ON doc_id = id GROUP BY lang, encoding"))
 def q_detect_by_lang(spark, sf_dir):
-    """Of the rows SQL can answer; all documents are in q_detect_by_lang_whole."""
-    return _by_lang(_sure(spark, sf_dir))
-
-
-@query()
-def q_detect_by_lang_whole(spark, sf_dir):
-    """Every document, those that reach the probers too."""
-    return _by_lang(detect(_utf8(spark, sf_dir, "lang")).select("lang", "detected.*"))
+    found = detect(_utf8(spark, sf_dir, "lang")).select("lang", "detected.*")
+    return found.groupBy("lang", "encoding").agg(F.count("*").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
 
 
 _HEX = "WITH h AS (SELECT doc_id, lang, hex(encode(coalesce(text, ''))) AS h FROM documents)"
 
 
-def _bytes_of(df, *keep):
-    """Each byte with its position: partial counts of these are small, whatever the length."""
-    return df.select(*keep, F.posexplode(F.split(F.hex("content"), "(?<=\\G..)")).alias("at", "byte")).where("byte <> ''")
-
-
 @query(_HEX + " SELECT byte, count(*)::BIGINT AS cnt FROM (SELECT unnest(regexp_extract_all(h, '..')) AS byte FROM h) GROUP BY byte")
 def q_byte_hist(spark, sf_dir):
-    return _bytes_of(_utf8(spark, sf_dir)).groupBy("byte").agg(F.count("*").alias("cnt"))
+    return count_bytes(_utf8(spark, sf_dir), 1).select(F.col("unit").alias("byte"), "cnt")
 
 
 @query(_HEX + """, b AS (SELECT lang, unnest(list_zip(regexp_extract_all(h, '..'), regexp_extract_all(substr(h, 3), '..'))) AS p FROM h),
 c AS (SELECT lang, p[1] || p[2] AS pair, count(*)::BIGINT AS cnt FROM b WHERE p[2] IS NOT NULL GROUP BY 1, 2)
 SELECT lang, pair, cnt FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, pair) AS rn FROM c) WHERE rn <= 20""")
 def q_bigram_top(spark, sf_dir):
-    from pyspark.sql import Window
-
-    digits = F.hex("content")
-    split = F.split(digits, "(?<=\\G..)")
-    each = _utf8(spark, sf_dir, "lang").where(F.length("content") > 1).select("lang", F.explode(F.zip_with(F.slice(split, 1, F.length("content") - 1), F.slice(split, 2, F.length("content") - 1), lambda x, y: F.concat(x, y))).alias("pair"))
-    counted = each.groupBy("lang", "pair").agg(F.count("*").alias("cnt"))
+    counted = count_bytes(_utf8(spark, sf_dir, "lang"), 2, "lang").select("lang", F.col("unit").alias("pair"), "cnt")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cnt"), "pair"))
     return counted.withColumn("rn", rank).where("rn <= 20").drop("rn")
 
 
-@query(r"SELECT doc_id, length(regexp_replace(regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', 'éé', 'g'), '[\x00-\x7f]+', ' ', 'g'))::BIGINT AS n FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x00-\xff]')")
+@query(rf"SELECT doc_id, length(regexp_replace({UTF8_VIEW.format('text')}, '[\x00-\x7f]+', ' ', 'g'))::BIGINT AS n FROM documents")
 def q_high_only(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(~F.coalesce("text", F.lit("")).rlike(r"[^\x00-\xff]")).select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("content"))
-    return docs.select("doc_id", F.length(B.high_byte_only(L())).cast("long").alias("n"))
+    return _utf8(spark, sf_dir).select("doc_id", F.length(B.high_byte_only(L())).cast("long").alias("n"))
 
 
 _WORDS_SQL = rf"regexp_extract_all({_TEXT}, '[a-zA-Z]*[\x80-\xff]+[a-zA-Z]*[^a-zA-Z\x80-\xff]?')"
@@ -173,83 +153,69 @@ SELECT page_id, (CASE WHEN len(parts) = 1 THEN length(coalesce(inner_[1], parts[
   + coalesce(list_sum(list_transform(inner_[2:len(parts) - 1], lambda x: CASE WHEN length(x) > 0 THEN length(x) + 1 ELSE 0 END)), 0)
   + coalesce(length(inner_[len(parts)]), 0) END)::BIGINT AS n FROM s""")
 def q_strip_tags(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = read_table(spark, sf_dir, "pages")
     return pages.select("page_id", F.length(B.strip_tags(F.coalesce("html", F.lit("")))).cast("long").alias("n"))
 
 
-def _class_text(stripped, classes):
-    """A string of class digits, the starting class in front. Only whole-string functions, so it stays in generated code."""
-    out = stripped
-    groups: dict[str, list[int]] = {}
-    for b, c in enumerate(classes):
-        groups.setdefault(str(int(c)), []).append(b)
-    # Digits are written as private characters first: they must not be taken for bytes of their own.
-    for digit, members in groups.items():
-        pattern = "[" + "".join(f"\\x{b:02x}" for b in members) + "]"
-        out = F.regexp_replace(out, pattern, chr(0xE000 + int(digit)))
-    return F.concat(F.lit(chr(0xE001)), out)
-
+def _western(spark, sf_dir, classes, prior: int):
+    """Confidences from the pairs of classes of a text outside of tags, each class as a character.
 
-def _pair_counts(text, value: int, model):
-    """How many adjacent classes have this value."""
-    alternatives = []
-    for a in range(9):
-        then = [b for b in range(9) if model[a][b] == value]
-        if then:
-            alternatives.append(f"{chr(0xE000 + a)}(?=[{''.join(chr(0xE000 + b) for b in then)}])")
-    return F.regexp_count(text, F.lit("|".join(alternatives)))
+    One ``translate`` writes the classes; a pair of low value is what two look-aheads find, and all others have the value 3.
+    """
+    model = class_model()
+    text = F.translate(B.strip_tags(L()), "".join(map(chr, range(256))), "".join(chr(0x30 + int(c)) for c in classes))
+    docs = _latin(spark, sf_dir).select("doc_id", F.concat(F.lit("1"), text).alias("c"))
 
+    def pairs(value: int):
+        rows = {a: "".join(str(b) for b in range(9) if model[a][b] == value) for a in range(9)}
+        return F.regexp_count("c", F.lit("|".join(f"{a}(?=[{then}])" for a, then in rows.items() if then))).cast("double")
 
-def _western(spark, sf_dir, classes, prior: int):
-    model = class_model()
-    docs = _latin(spark, sf_dir).select("doc_id", _class_text(B.strip_tags(L()), classes).alias("c"))
-    f = {v: _pair_counts(F.col("c"), v, model) for v in (1, 2, 3)}
-    counts = docs.select("doc_id", F.col("c").contains(chr(0xE000)).alias("undefined"), *[f[v].cast("double").alias(f"f{v}") for v in f])
-    total = F.col("f1") + F.col("f2") + F.col("f3") + F.lit(float(prior))
-    c = F.when(total >= 1, (F.col("f3") - F.col("f1") * 20.0) / total).otherwise(0.0)
+    f1, f2 = pairs(1), pairs(2) + F.lit(float(prior))
+    total = F.length("c") - 1 + F.lit(float(prior))
+    counts = docs.select("doc_id", F.col("c").contains("0").alias("undefined"), f1.alias("f1"), f2.alias("f2"), total.alias("total"))
+    c = F.when(F.col("total") >= 1, (F.col("total") - F.col("f1") - F.col("f2") - F.col("f1") * 20.0) / F.col("total")).otherwise(0.0)
     return counts.select("doc_id", F.when(F.col("undefined"), 0.01).otherwise(F.greatest(c, F.lit(0.0)) * 0.73).alias("confidence"))
 
 
-def _western_sql(classes, prior: int) -> str:
-    model = class_model()
-    rows = ", ".join(f"({b}, {int(c)})" for b, c in enumerate(classes))
-    values = ", ".join(f"({a}, {b}, {int(model[a][b])})" for a in range(9) for b in range(9))
-    return f"""
-WITH cls(b, c) AS (VALUES {rows}), mdl(a, b, v) AS (VALUES {values}),
-t AS (SELECT doc_id, {_TEXT} AS t FROM documents),
-p AS (SELECT doc_id, string_split(t, '<') AS parts FROM t),
-s AS (SELECT doc_id, parts, list_transform(parts, lambda x: CASE WHEN contains(x, '>') THEN substr(x, length(x) - position('>' IN reverse(x)) + 2) END) AS i FROM p),
-f AS (SELECT doc_id, CASE WHEN len(parts) = 1 THEN coalesce(i[1], parts[1]) ELSE
-  (CASE WHEN coalesce(i[1], parts[1]) <> '' THEN coalesce(i[1], parts[1]) || ' ' ELSE '' END)
-  || array_to_string(list_transform(list_filter(i[2:len(parts) - 1], lambda x: x <> ''), lambda x: x || ' '), '') || coalesce(i[len(parts)], '') END AS t FROM s),
-e AS (SELECT doc_id, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS place FROM f WHERE t <> ''),
-k AS (SELECT doc_id, place, c FROM e JOIN cls ON cls.b = ascii(ch)),
-q AS (SELECT doc_id, c, coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY place), 1) AS before FROM k),
-n AS (SELECT q.doc_id, max((v = 0)::INT) AS bad, sum((v = 1)::INT)::DOUBLE AS f1, sum((v = 2)::INT)::DOUBLE + {prior}e0 AS f2, sum((v = 3)::INT)::DOUBLE AS f3
-      FROM q JOIN mdl ON mdl.a = q.before AND mdl.b = q.c GROUP BY q.doc_id)
-SELECT d.doc_id, CASE WHEN bad = 1 THEN 0.01e0 WHEN bad IS NULL THEN 0e0 ELSE greatest((f3 - f1 * 20e0) / (f1 + f2 + f3), 0e0) * 0.73e0 END AS confidence
-FROM documents d LEFT JOIN n USING (doc_id)"""
-
-
-@query(_western_sql(latin1_classes(), 0))
+def _western_sql(name: str) -> str:
+    return f"WITH src AS ({_LATIN_DOCS}), {western_sql('src')} SELECT id AS doc_id, c AS confidence FROM {name}"
+
+
+@query(_western_sql("latin1"))
 def q_latin1_conf(spark, sf_dir):
     return _western(spark, sf_dir, latin1_classes(), 0)
 
 
-@query(_western_sql(macroman_classes(), 10))
+@query(_western_sql("macroman"))
 def q_macroman_conf(spark, sf_dir):
     return _western(spark, sf_dir, macroman_classes(), 10)
 
 
+@query(f"WITH src AS ({_LATIN_DOCS}), {western_sql('src')} SELECT id AS doc_id, latin1_before AS before, latin1_class AS class, count(*)::BIGINT AS cnt FROM classes GROUP BY ALL")
+def q_latin1_classes(spark, sf_dir):
+    """How often each class follows another in a text outside of tags."""
+    text = F.translate(B.strip_tags(L()), "".join(map(chr, range(256))), "".join(chr(0x30 + int(c)) for c in latin1_classes()))
+    docs = _latin(spark, sf_dir).select("doc_id", F.concat(F.lit("1"), text).alias("c"))
+    found = [F.struct(F.lit(a).alias("before"), F.lit(b).alias("class"), F.regexp_count("c", F.lit(f"{a}(?={b})")).cast("long").alias("cnt")) for a in range(8) for b in range(8)]
+    return docs.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x["cnt"] > 0)).alias("x")).select("doc_id", "x.*")
+
+
 def _wide_sql(name: str) -> str:
+    """Texts of 20 characters up to U+00FF, none of them U+0000, are sure; of others that hold no zero byte otherwise, as here, detection in general tells."""
     plain = "NOT regexp_matches(coalesce(text, ''), '[^\\x01-\\xff]') AND length(coalesce(text, '')) >= 20"
-    return f"SELECT doc_id, '{name}' AS encoding, 0.85e0 AS confidence, '' AS language FROM documents WHERE {plain}"
+    return f"SELECT doc_id, encoding, confidence, language FROM ({_answers(_shown_wide(name))}) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE {plain}) UNION ALL SELECT doc_id, '{name}', 0.85e0, '' FROM documents WHERE {plain}"
+
+
+def _shown_wide(name: str) -> str:
+    """Bytes of the short texts, as characters: each of theirs with its zero bytes."""
+    zeros = "repeat(chr(0), 3)" if "32" in name else "chr(0)"
+    each = f"x || {zeros}" if name.endswith("le") else f"{zeros} || x"
+    return f"SELECT doc_id AS id, CASE WHEN length(coalesce(text, '')) < 20 THEN array_to_string(list_transform(string_split(coalesce(text, ''), ''), lambda x: CASE WHEN x = '' THEN '' ELSE {each} END), '') ELSE '' END AS b FROM documents"
 
 
 def _wide(charset: str):
     def f(spark, sf_dir):
-        docs = _docs(spark, sf_dir).where(~F.coalesce("text", F.lit("")).rlike(r"[^\x01-\xff]") & (F.length("text") >= 20))
-        return detect(docs.select("doc_id", F.encode("text", charset).alias("content"))).select("doc_id", "detected.*")
+        return detect(_docs(spark, sf_dir).select("doc_id", F.encode(F.coalesce("text", F.lit("")), charset).alias("content"))).select("doc_id", "detected.*")
 
     return f
 
@@ -259,21 +225,21 @@ for _name, _charset in (("utf-16le", "UTF-16LE"), ("utf-16be", "UTF-16BE")):
 query(_wide_sql("utf-32be"), "q_utf32_detect")(_wide("UTF-32"))
 
 
-@query(r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'ISO-2022-JP' WHEN 1 THEN 'ISO-2022-KR' WHEN 2 THEN 'HZ-GB-2312' END AS encoding,
-CASE WHEN doc_id % 4 = 3 THEN 0e0 ELSE 0.99e0 END AS confidence, CASE doc_id % 4 WHEN 0 THEN 'Japanese' WHEN 1 THEN 'Korean' WHEN 2 THEN 'Chinese' END AS language
-FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x01-\x7f]|[\x0e\x0f\x1b]|~')""")
+_SEQUENCES = ["\x1b$B", "\x1b$)C", "~{VPND~}", "\x1b!"]
+_MARKED_TEXT = "CASE doc_id % 4 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_SEQUENCES)) + " END"
+
+
+@query(_answers(f"SELECT doc_id AS id, {_MARKED_TEXT} || {UTF8_VIEW.format('text')} AS b FROM documents"))
 def q_esc_detect(spark, sf_dir):
-    """Plain texts behind escape sequences; the last of the four is none."""
-    marks = F.array(*[F.lit(m) for m in (b"\x1b$B", b"\x1b$)C", b"~{VPND~}", b"\x1b!")])
-    plain = _docs(spark, sf_dir).where(~F.coalesce("text", F.lit("")).rlike(r"[^\x01-\x7f]|[\x0e\x0f\x1b]|~"))
-    docs = plain.select("doc_id", F.concat(F.get(marks, F.pmod("doc_id", F.lit(4)).cast("int")), F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("content"))
+    """Texts behind escape sequences; the last of the four is none. With bytes beyond ASCII they don't matter."""
+    marks = F.array(*[F.lit(m.encode()) for m in _SEQUENCES])
+    docs = _utf8(spark, sf_dir).select("doc_id", F.concat(F.get(marks, F.pmod("doc_id", F.lit(4)).cast("int")), "content").alias("content"))
     return detect(docs).select("doc_id", "detected.*")
 
 
-@query(r"SELECT doc_id, NULL::VARCHAR AS encoding, 0e0 AS confidence, NULL::VARCHAR AS language FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[^\x01-\x7f]|[\x0e\x0f\x1b]|~')")
+@query(_answers(f"SELECT doc_id AS id, {UTF8_VIEW.format('text')} || chr(27) AS b FROM documents"))
 def q_esc_unresolved(spark, sf_dir):
-    plain = _docs(spark, sf_dir).where(~F.coalesce("text", F.lit("")).rlike(r"[^\x01-\x7f]|[\x0e\x0f\x1b]|~"))
-    docs = plain.select("doc_id", F.concat(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), F.lit(b"\x1b")).alias("content"))
+    docs = _utf8(spark, sf_dir).select("doc_id", F.concat("content", F.lit(b"\x1b")).alias("content"))
     return detect(docs).select("doc_id", "detected.*")
 
 
@@ -303,9 +269,7 @@ def _tokens_sql() -> str:
 
 @query(_tokens_sql())
 def q_mb_tokens(spark, sf_dir):
-    docs = _latin(spark, sf_dir).select(F.array(*[F.struct(F.lit(c).alias("charset"), G.two_byte_tokens(G.legal_prefix(L(), c), c).alias("tokens")) for c in G.GRAMMAR if c != "utf-8"]).alias("all"))
-    each = docs.select(F.explode("all").alias("x")).select("x.charset", F.explode("x.tokens").alias("t"))
-    return each.groupBy("charset", F.hex(F.col("t").cast("binary")).alias("token")).agg(F.count("*").alias("cnt"))
+    return count_tokens(_latin(spark, sf_dir))
 
 
 _FINAL, _OTHER = r"[\xea\xed\xef\xf3\xf5]", r"[\xeb\xee\xf0\xf4]"
@@ -323,11 +287,10 @@ def q_hebrew_scores(spark, sf_dir):
     return _latin(spark, sf_dir).select("doc_id", logical.cast("long").alias("logical"), visual.cast("long").alias("visual"))
 
 
-@query(f"SELECT doc_id, 'utf-8' AS encoding, {_CONF} AS confidence FROM documents WHERE {_MB} >= 5 AND NOT {_ODD}")
+@query(detection_sql(_UTF8_DOCS, "SELECT id AS doc_id, place, encoding, confidence, language FROM candidates"))
 def q_detect_all_utf8(spark, sf_dir):
-    docs = _utf8(spark, sf_dir).where(~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5))
-    each = detect_all(docs).select("doc_id", F.explode_outer("candidates").alias("c"))
-    return each.where("c.encoding = 'utf-8'").select("doc_id", "c.encoding", "c.confidence")
+    each = detect_all(_utf8(spark, sf_dir)).select("doc_id", F.posexplode_outer("candidates").alias("place", "c"))
+    return each.select("doc_id", "place", "c.*")
 
 
 _NAMES = sorted({*ISO_TO_WINDOWS, *LEGACY, "utf-8", "KOI8-R", "Big5", "ISO-8859-15"})
@@ -347,76 +310,118 @@ def q_renames(spark, sf_dir):
     return names.select("name", "win", renamed(F.col("name"), F.col("win")).alias("plain"), renamed(F.col("name"), F.col("win"), True).alias("legacy"))
 
 
-@query()
+@query(_answers(_UTF8_DOCS))
 def q_detect(spark, sf_dir):
     """The flagship: every document's encoding, confidence and language."""
     return detect(_utf8(spark, sf_dir)).select("doc_id", "detected.*")
 
 
-@query()
+@query(_answers(_LATIN_DOCS))
 def q_detect_latin1(spark, sf_dir):
     return detect(_latin(spark, sf_dir)).select("doc_id", "detected.*")
 
 
-@query()
+@query(detection_sql(_LATIN_DOCS, "SELECT id AS doc_id, place, encoding, confidence, language FROM candidates"))
 def q_detect_all(spark, sf_dir):
     each = detect_all(_latin(spark, sf_dir)).select("doc_id", F.posexplode_outer("candidates").alias("place", "c"))
     return each.select("doc_id", "place", "c.*")
 
 
-@query()
+_SCORES = "SELECT id AS doc_id, grp, rank, charset, language, state, confidence FROM probers"
+
+
+@query(detection_sql(_LATIN_DOCS, _SCORES))
 def q_prober_scores(spark, sf_dir):
     return explain_probers(_latin(spark, sf_dir), "doc_id")
 
 
+def _recoded(spark: SparkSession, sf_dir: str, charset: str) -> DataFrame:
+    """Texts as the letters of another script, by their low bits, in one of its charsets: all bytes beyond ASCII are its letters."""
+    letters = _ALPHABETS[charset]
+    latin = "".join(chr(c) for c in range(0x41, 0x5B)) + "".join(chr(c) for c in range(0x61, 0x7B))
+    to = "".join(letters[i % len(letters)] for i in range(len(latin)))
+    return _docs(spark, sf_dir).select("doc_id", F.encode(F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7f]", "?"), latin, to), "ISO-8859-1").alias("content"))
+
+
+#: Bytes of letters as characters, for texts in other scripts.
+_ALPHABETS = {
+    "windows-1251": "".join(map(chr, [*range(0xE0, 0x100)])),
+    "ISO-8859-7": "".join(map(chr, [*range(0xE1, 0xF2), *range(0xF3, 0xFA)])),
+    "TIS-620": "".join(map(chr, range(0xA1, 0xCF))),
+    "windows-1255": "".join(map(chr, range(0xE0, 0xFB))),
+}
+_RECODED = r"translate(regexp_replace(coalesce(text, ''), '[^\x00-\x7f]', '?', 'g'), '{0}', '{1}')"
+
+
+def _recoded_sql(charset: str) -> str:
+    latin = "".join(chr(c) for c in range(0x41, 0x5B)) + "".join(chr(c) for c in range(0x61, 0x7B))
+    letters = _ALPHABETS[charset]
+    return f"SELECT doc_id AS id, {_RECODED.format(latin, ''.join(letters[i % len(letters)] for i in range(len(latin))))} AS b FROM documents"
+
+
+def _script(charset: str):
+    def f(spark, sf_dir):
+        return explain_probers(_recoded(spark, sf_dir, charset), "doc_id")
+
+    return f
+
+
+for _charset in _ALPHABETS:
+    query(detection_sql(_recoded_sql(_charset), _SCORES), "q_scores_" + _charset.lower().replace("-", ""))(_script(_charset))
+
+
+#: Letters as two-byte characters, for charsets that want a high second byte and for those that take a letter.
+_DOUBLED = {"euc": ("".join(map(chr, range(0xA1, 0xA1 + 52))), 0xB0), "big5": ("".join(chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B)]), 0xA4)}
+
+
+def _double(name: str):
+    letters, lead = _DOUBLED[name]
+    latin = _DOUBLED["big5"][0]
+    sql = f"SELECT doc_id AS id, regexp_replace({_RECODED.format(latin, letters)}, '([{letters}])', chr({lead}) || '\\1', 'g') AS b FROM documents"
+
+    def f(spark, sf_dir):
+        plain = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7f]", "?"), latin, letters)
+        return explain_probers(_docs(spark, sf_dir).select("doc_id", F.encode(F.regexp_replace(plain, f"([{letters}])", f"{chr(lead)}$1"), "ISO-8859-1").alias("content")), "doc_id")
+
+    query(detection_sql(sql, _SCORES), f"q_scores_{name}")(f)
+
+
+for _name in _DOUBLED:
+    _double(_name)
+
+
 _CHATS = "(SELECT conv_id, string_agg(coalesce(text, '') || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = read_table(spark, sf_dir, "conversations")
     per = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("all"))
     return per.select("conv_id", F.array_join(F.transform("all", lambda x: F.concat(x["t"], F.lit("\n"))), "").cast("binary").alias("content"))
 
 
-@query(_SURE.replace("doc_id, lang,", "conv_id,").replace("FROM documents", f"FROM {_CHATS}"))
+@query(_answers(f"SELECT conv_id AS id, {UTF8_VIEW.format('text')} AS b FROM {_CHATS}", "conv_id"))
 def q_conversation_detect(spark, sf_dir):
-    """Of the conversations SQL can answer; all are in q_conversation_detect_whole."""
-    sure = _conversations(spark, sf_dir).where((~B.has_high_byte(L()) & ~B.has_escape(L())) | (~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5) & ~L().contains("~{")))
-    return detect(sure).select("conv_id", "detected.*")
-
-
-@query()
-def q_conversation_detect_whole(spark, sf_dir):
     return detect(_conversations(spark, sf_dir)).select("conv_id", "detected.*")
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("content"))
-
-
-@query(_SURE.replace("doc_id, lang,", "page_id,").replace("text", "html").replace("FROM documents", "FROM pages"))
+@query(_answers(f"SELECT page_id AS id, {UTF8_VIEW.format('html')} AS b FROM pages", "page_id"))
 def q_page_detect(spark, sf_dir):
-    """Of the pages SQL can answer; all are in q_page_detect_whole."""
-    sure = _pages(spark, sf_dir).where((~B.has_high_byte(L()) & ~B.has_escape(L())) | (~G.illegal(L(), "utf-8") & (utf8_chars(L()) >= 5) & ~L().contains("~{")))
-    return detect(sure).select("page_id", "detected.*")
-
-
-@query()
-def q_page_detect_whole(spark, sf_dir):
-    return detect(_pages(spark, sf_dir)).select("page_id", "detected.*")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("content"))
+    return detect(pages).select("page_id", "detected.*")
 
 
 @query()
 def q_stream_chunks(spark, sf_dir):
     """Turns of a conversation as the chunks of a document."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns = read_table(spark, sf_dir, "conversations")
     return detect_chunks(turns.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.col("text").cast("binary").alias("chunk")))
 
 
 @query()
 def q_cli_report(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("path"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("content"))
-    return report(pages, id_col="page_id")
+    """A line for each page, whatever its url, as of a file of that name."""
+    pages = read_table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
+    return report(pages)
 
 
 def _quoted(x: str) -> str:
@@ -455,12 +460,12 @@ def q_pair_ranks(spark, sf_dir):
     return rank_pairs(count_units(_docs(spark, sf_dir)))
 
 
-@query()
+@query(detection_sql(_LATIN_DOCS, _SCORES + " WHERE grp = 'sb'"))
 def q_sb_scores(spark, sf_dir):
     return explain_probers(_latin(spark, sf_dir), "doc_id").where("grp = 'sb'")
 
 
-@query()
+@query(detection_sql(_LATIN_DOCS, _SCORES + " WHERE grp = 'mb'"))
 def q_mb_scores(spark, sf_dir):
     return explain_probers(_latin(spark, sf_dir), "doc_id").where("grp = 'mb'")
 

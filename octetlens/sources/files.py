@@ -2,46 +2,110 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.detect import detect
-from ..streaming.incremental import detect_chunks
+from ..plans.detect import detect, detect_lines
+from ..shipping import ship
 
 #: Kinds of files a labelled corpus is read from. Fixed values.
 CORPUS_KINDS = ("html", "txt", "xml", "srt")
+#: Labels of a labelled corpus that are known not to be supported. Fixed values.
+CORPUS_SKIPPED = ("iso-8859-2", "iso-8859-6", "windows-1250", "windows-1254", "windows-1256")
+_STATUS = re.compile(r"FileStatus\{path=(.*?); isDirectory=(true|false)(?:; length=(\d+))?;", re.DOTALL)
+_FILES = "path string, content binary"
 
 
-def read_files(spark: SparkSession, *paths: str, recursive: bool = False) -> DataFrame:
-    """(path, content) of each file, with ``recursive`` those of folders within too. Spark's readers skip names that begin with _ or a dot."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(list(paths)).select("path", "content")
-
+def listing(spark: SparkSession, path: str, recursive: bool = False) -> Iterator[tuple[str, int]]:
+    """(path, length) of the files that a path or pattern names, of those in a folder, and of folders within.
 
-def detect_files(spark: SparkSession, *paths: str, rename_legacy: bool = False, recursive: bool = False) -> DataFrame:
-    return detect(read_files(spark, *paths, recursive=recursive), rename_legacy=rename_legacy).select("path", "detected.*")
+    One call for each folder, as Spark's own listing makes; names with a leading _ or . are listed like others.
+    """
+    jvm, java = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(java)
+    found = system.globStatus(place)
+    if found is None or not len(found):
+        raise FileNotFoundError(path)
+    todo = [(jvm.org.apache.commons.lang3.ArrayUtils.toString(found), True)]
+    while todo:
+        statuses, enter = todo.pop()
+        for name, folder, length in _STATUS.findall(statuses):
+            if folder == "false":
+                yield name, int(length)
+            elif enter or recursive:
+                todo.append((jvm.org.apache.commons.lang3.ArrayUtils.toString(system.listStatus(jvm.org.apache.hadoop.fs.Path(name))), False))
+
+
+def _hidden(path: str) -> bool:
+    """Whether Spark's readers pass over it: a name that begins with _ or a dot, on the way to it or its own."""
+    return any(part[:1] in ("_", ".") and "=" not in part for part in path.split("/"))
+
+
+def _read_each(batches):
+    """Contents of files by their paths, one at a time."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            scheme, rest = path.split(":", 1)
+            system, at = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(path)
+            with system.open_input_stream(at) as f:
+                content = f.read()
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
 
 
-def _key(name: str, id_col: str | None):
-    return (F.col(id_col).cast("long") if id_col else F.xxhash64(name)).alias("doc_id")
+def read_files(spark: SparkSession, *paths: str, recursive: bool = False) -> DataFrame:
+    """(path, content) of each file, with ``recursive`` those of folders within too.
 
+    Spark's reader takes most files. It passes over names with a leading _ or . and over empty files; the former are read by
+    the workers, and the latter need no reading. Only paths of these two kinds pass through the driver. A file is a row, so
+    ``spark.sql.sources.binaryFile.maxLength`` bounds its size.
+    """
+    ship(spark)
+    plain, hidden, empty = [], [], []
+    for path in paths:
+        some = False
+        for name, length in listing(spark, path, recursive):
+            if not length:
+                empty.append(name)
+            elif _hidden(name):
+                hidden.append(name)
+            else:
+                some = True
+        if some:
+            plain.append(path)
+    parts = []
+    if plain:
+        parts.append(spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(plain).select("path", "content"))
+    if hidden:
+        cores = spark.sparkContext.defaultParallelism
+        parts.append(spark.createDataFrame([(x,) for x in hidden], "path string").repartition(min(cores, len(hidden))).mapInArrow(_read_each, _FILES))
+    if empty or not parts:
+        parts.append(spark.createDataFrame([(x, bytearray()) for x in empty], _FILES))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
 
-def lines_of(files: DataFrame, name: str = "path", id_col: str | None = None) -> DataFrame:
-    """Chunks that end at line feeds, the way a file is read line by line: (doc_id, seq, chunk, name).
 
-    ``id_col`` tells documents apart where names repeat or are null; without it a name is one document.
-    """
-    lines = F.regexp_extract_all(F.decode("content", "ISO-8859-1"), F.lit(r"[^\n]*\n|[^\n]+\z"), F.lit(0))
-    each = files.select(_key(name, id_col), F.col(name).alias("name"), F.posexplode_outer(lines).alias("seq", "line"))
-    return each.select("doc_id", "name", "seq", F.encode("line", "ISO-8859-1").alias("chunk"))
+def detect_files(spark: SparkSession, *paths: str, rename_legacy: bool = False, recursive: bool = False) -> DataFrame:
+    return detect(read_files(spark, *paths, recursive=recursive), rename_legacy=rename_legacy).select("path", "detected.*")
 
 
-def report(files: DataFrame, minimal: bool = False, rename_legacy: bool = False, name: str = "path", id_col: str | None = None) -> DataFrame:
-    """A line of text for each file, read line by line and no further than needed: (name, line).
+def report(files: DataFrame, minimal: bool = False, rename_legacy: bool = False, name: str = "path", content: str = "content") -> DataFrame:
+    """A line of text for each row, read line by line and no further than needed: (name, line).
 
-    With ``id_col``, a line for each identifier, whatever its name; a null name is written as None.
+    A null name is written as None; names may repeat. Null contents are empty.
     """
-    chunks = lines_of(files, name, id_col)
-    found = detect_chunks(chunks, rename_legacy=rename_legacy).join(files.select(_key(name, id_col), F.col(name).alias("name")).distinct(), "doc_id")
+    bare = files.select(F.col(name).alias("name"), F.coalesce(F.col(content), F.lit(b"")).alias("content"))
+    found = detect_lines(bare, rename_legacy=rename_legacy).select("name", "detected.*")
     if minimal:
         return found.select("name", F.coalesce("encoding", F.lit("None")).alias("line"))
     # A confidence is written as its shortest decimal form.
@@ -53,9 +117,43 @@ def report(files: DataFrame, minimal: bool = False, rename_legacy: bool = False,
 
 
 def labelled_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, expected, content): the folder's name, lower-cased, is the encoding; a language behind it is cut off."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """(path, expected, content): the folder's name, lower-cased, is the encoding; a language behind it is cut off.
+
+    Files that lie in ``folder`` itself have no label.
+    """
+    bare_path = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
+    top = re.sub(r"^(?:[a-z0-9]+:)?/*", "/", folder.rstrip("/"))
+    files = read_files(spark, folder, recursive=True).where(F.regexp_replace(bare_path, r"/[^/]*$", "") != top)
     label = F.lower(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
     # Labels such as iso-8859-7-greek end in a language's name.
     bare = F.regexp_replace(label, r"-(?:arabic|bulgarian|croatian|cyrillic|czech|danish|dutch|english|finnish|french|german|greek|hebrew|hungarian|italian|norwegian|polish|portuguese|romanian|russian|slovak|slovene|spanish|swedish|thai|turkish)$", "")
     return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*CORPUS_KINDS)).select("path", bare.alias("expected"), "content")
+
+
+def same_text(content: bytes, one: str | None, other: str | None, form: str = "NFKC") -> bool:
+    """Whether two encodings read the content as the same text, by a normal form; what can't be read is empty."""
+
+    def text(name):
+        try:
+            return unicodedata.normalize(form, content.decode(name or ""))
+        except (LookupError, UnicodeError):
+            return ""
+
+    return text(one) == text(other)
+
+
+def corpus_accuracy(spark: SparkSession, folder: str, rename_legacy: bool = False) -> DataFrame:
+    """(expected, files, right) of a labelled corpus; labels of CORPUS_SKIPPED are left out.
+
+    An answer is right if it is the label, whatever the case, or reads the file as the same text.
+    """
+    found = detect(labelled_corpus(spark, folder).where(~F.col("expected").isin(*CORPUS_SKIPPED)), rename_legacy=rename_legacy)
+    form = "NFKD" if rename_legacy else "NFKC"
+
+    def right(batches):
+        for contents, names, labels in batches:
+            yield pd.Series([(n or "").lower() == x or same_text(bytes(c), x, n, form) for c, n, x in zip(contents, names, labels)])
+
+    right.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    judged = found.select("expected", F.pandas_udf(right, "boolean")("content", "detected.encoding", "expected").cast("int").alias("ok"))
+    return judged.groupBy("expected").agg(F.count("*").alias("files"), F.sum("ok").alias("right"))

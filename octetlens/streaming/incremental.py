@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState
 
 from ..operators.detector import ALL, Detector
 from ..operators.models import Pack, builtin_pack
+from ..shipping import ship
 
 ANSWER = "doc_id long, encoding string, confidence double, language string, n_chunks long"
 
@@ -48,14 +49,16 @@ def detect_stream(chunks: DataFrame, lang_filter: int = ALL, rename_legacy: bool
 
     With ``timeout_ms`` a document that gets no chunk for so long is closed too; the query then never runs out of work.
     """
-    pack = pack or builtin_pack(chunks.sparkSession)
+    ship(chunks.sparkSession)
+    pack = pack or builtin_pack()
     picked = chunks.select(F.col("doc_id").cast("long"), "seq", "chunk", "is_last")
     return picked.groupBy("doc_id").applyInPandasWithState(_step(pack, lang_filter, rename_legacy, timeout_ms), ANSWER, "detector binary, n long", "append", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
 
 
 def detect_chunks(chunks: DataFrame, lang_filter: int = ALL, rename_legacy: bool = False, pack: Pack | None = None) -> DataFrame:
     """The same of a finished table (doc_id, seq, chunk): a document is bounded by its own size."""
-    pack = pack or builtin_pack(chunks.sparkSession)
+    ship(chunks.sparkSession)
+    pack = pack or builtin_pack()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         d, n = Detector(lang_filter, rename_legacy), 0

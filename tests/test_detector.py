@@ -170,7 +170,7 @@ def test_classes():
 
 
 def test_trained_models_recognise_their_languages(spark):
-    pack = builtin_pack(spark)
+    pack = builtin_pack()
     text = "Российская Федерация, Республика Беларусь, Казахстан и Украина заключили соглашение о сотрудничестве. " * 4
     rows = [("Russian", "cp1251"), ("Russian", "koi8_r")]
     for language, codec in rows:

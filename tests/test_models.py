@@ -1,11 +1,10 @@
-import importlib.util
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from octetlens.operators.detector import Detector
-from octetlens.operators.models import FREQUENT, blend, builtin_pack, categories, held_out_share, latin_pairs, train_pack, vocabulary_pieces
+from octetlens.operators.models import FREQUENT, blend, builtin_pack, categories, held_out_share, latin_pairs, load_pack, save_pack, train_from_names, train_pack, vocabulary_pieces
 
 #: Sentences that no model is trained from: locale -> (text, charsets as reported by Python's codecs, language).
 SENTENCES = {
@@ -21,13 +20,11 @@ SENTENCES = {
     "ko": ("책임자에 따르면 이 작업은 삼 년이 걸렸으며 여러 나라의 전문가들이 참여했습니다.", {"EUC-KR": "euc_kr", "Johab": "johab"}, "Korean"),
     "fr": ("D'après le responsable du projet, le travail a duré trois années et a exigé la participation d'experts étrangers.", {"ISO-8859-1": "latin_1"}, ""),
 }
-needs_vocabulary = pytest.mark.skipif(not importlib.util.find_spec("public_tokenizers"), reason="no vocabulary here")
 
 
-@needs_vocabulary
 @pytest.mark.parametrize("locale", SENTENCES)
-def test_sentences_in_their_charsets(spark, locale):
-    pack = builtin_pack(spark)
+def test_sentences_in_their_charsets(locale):
+    pack = builtin_pack()
     text, charsets, language = SENTENCES[locale]
     for charset, codec in charsets.items():
         d = Detector()
@@ -69,3 +66,46 @@ def test_blend_takes_a_languages_own_pieces(tmp_path):
     assert "ёж" not in blend("bg", [], pieces) and "мир" in blend("bg", [], pieces)
     assert set(latin_pairs(pieces)) == {"th", "he", "fü", "ür", "ık"} - {"ık"}
     assert latin_pairs([]) is None and blend("ru", [], []) == Counter()
+
+
+def equal(a, b):
+    assert a.ratio == b.ratio and a.frequent == b.frequent and np.array_equal(a.kana, b.kana) and len(a.single) == len(b.single)
+    for x, y in zip(a.single, b.single):
+        assert (x.charset, x.language, x.ratio, x.keep_ascii) == (y.charset, y.language, y.ratio, y.keep_ascii)
+        assert all(np.array_equal(getattr(x, c), getattr(y, c)) for c in ("is_char", "is_freq", "category"))
+
+
+def test_packs_are_saved_and_loaded(spark, tmp_path):
+    path = str(tmp_path / "pack.npz")
+    for pack in (builtin_pack(), train_pack({}), train_from_names(spark)):
+        save_pack(pack, path)
+        equal(load_pack(path), pack)
+    own = train_from_names(spark)
+    assert own.single[0].category.any() and own.frequent["EUC-KR"]
+    import octetlens.operators.models as models
+
+    models_form, models.FORM = models.FORM, 0
+    try:
+        with pytest.raises(ValueError):
+            load_pack(path)
+    finally:
+        models.FORM = models_form
+
+
+CODECS = {"Big5": "big5", "CP949": "cp949", "EUC-JP": "euc_jp", "EUC-KR": "euc_kr", "Johab": "johab", "GB2312": "gb2312", "SHIFT_JIS": "shift_jis"}
+
+
+@pytest.mark.parametrize("charset", CODECS)
+def test_every_character_of_a_charset_is_legal(charset):
+    """All assigned characters that the codec writes, one after the other: the prober goes on, and its grammar takes all."""
+    import unicodedata
+
+    from octetlens.operators.probers import MultiByte, legal_tokens
+
+    every = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cc", "Cf", "Cn", "Co", "Cs"))
+    data = every.encode(CODECS[charset], "ignore")
+    if charset == "GB2312":
+        data = b"".join(c.encode("gb2312", "ignore") for c in every)
+    assert legal_tokens(charset, data)[0] == len(data) > 5000
+    prober = MultiByte(charset)
+    assert prober.feed(data, train_pack({})) != "NOT_ME"

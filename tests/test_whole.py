@@ -29,14 +29,14 @@ def answer(text, pack):
 
 
 def test_every_page_document_and_conversation(spark, tables):
-    pack = builtin_pack(spark)
+    pack = builtin_pack()
     want = {i: answer(t, pack) for i, t in enumerate(TEXTS)}
-    assert {r[0]: tuple(r)[1:] for r in QUERIES["q_page_detect_whole"](spark, tables).collect()} == want
+    assert {r[0]: tuple(r)[1:] for r in QUERIES["q_page_detect"](spark, tables).collect()} == want
     assert {r[0]: tuple(r)[1:] for r in QUERIES["q_detect"](spark, tables).collect()} == want
     chats = {i: answer((t or "") + "\nand\n", pack) for i, t in enumerate(TEXTS)}
-    assert {r[0]: tuple(r)[1:] for r in QUERIES["q_conversation_detect_whole"](spark, tables).collect()} == chats
+    assert {r[0]: tuple(r)[1:] for r in QUERIES["q_conversation_detect"](spark, tables).collect()} == chats
     n = Counter((["fr", "de", None][i % 3], e) for i, (e, _, _) in want.items())
-    got = QUERIES["q_detect_by_lang_whole"](spark, tables).collect()
+    got = QUERIES["q_detect_by_lang"](spark, tables).collect()
     assert {(r.lang, r.encoding): r.n for r in got} == n and len(got) == len(n)
     for r in got:
         c = [x for i, (e, x, _) in want.items() if (["fr", "de", None][i % 3], e) == (r.lang, r.encoding)]
@@ -53,9 +53,9 @@ def test_report_of_pages_with_equal_or_null_urls(spark, tmp_path):
 
 
 def test_every_file_of_the_folder(spark, tmp_path):
-    files = {"region.parquet": b"plain", "lineitem.parquet": "é".encode() * 9, "documents.parquet/part-0000.parquet": b"PAR1", "documents.parquet/more/part-0001.parquet": b"\xef\xbb\xbfx"}
+    files = {"region.parquet": b"plain", "lineitem.parquet": "é".encode() * 9, "documents.parquet/part-0000.parquet": b"PAR1", "documents.parquet/more/part-0001.parquet": b"\xef\xbb\xbfx", "documents.parquet/_SUCCESS": b"", ".hidden": b"\xff\xfex"}
     for name, content in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(content)
     got = {r.path.split(f"{tmp_path}/")[1]: r.encoding for r in QUERIES["q_detect_files"](spark, str(tmp_path)).collect()}
-    assert got == dict(zip(files, ["ascii", "utf-8", "ascii", "UTF-8-SIG"]))
+    assert got == dict(zip(files, ["ascii", "utf-8", "ascii", "UTF-8-SIG", None, "UTF-16"]))
