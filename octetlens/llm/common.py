@@ -16,28 +16,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_own_scratch: list[str] = []
-
+from ..shipping import read_table, ship  # noqa: F401
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver was started from another folder."""
-    environment = spark.sparkContext.environment
-    have = environment.get("PYTHONPATH", "")
-    if REPO not in have.split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(x for x in (have, REPO) if x)
+_own_scratch: list[str] = []
+_to_delete: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared scratch folder; one of our own only where none is configured and all runs on one machine."""
+    """The application's folder in the shared one; one of our own only where none is configured and all runs on one machine.
+
+    It is deleted when the driver's JVM ends.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return f"{named.rstrip('/')}/octetlens-{spark.sparkContext.applicationId}"
+        folder = f"{named.rstrip('/')}/octetlens-{spark.sparkContext.applicationId}"
+        if folder not in _to_delete:
+            _to_delete.add(folder)
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_scratch:

@@ -66,9 +66,9 @@ def _merge(runs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; of rows equal in identifier and text one stays."""
-    kept = store(exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "kept")
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    named = marked.join(kept, (marked[id_col] == kept["_id"]) & (marked["_sha"] == kept["_sha"]), "left_semi")
-    bare = kept.where("_id is null")
-    nameless = marked.where(F.col(id_col).isNull()).join(bare, marked["_sha"] == bare["_sha"], "left_semi")
-    return named.dropDuplicates([id_col, "_sha"]).union(nameless.dropDuplicates(["_sha"])).drop("_sha")
+    kept = store(exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).distinct(), "kept")
+    # All columns travel as one, so that no name of theirs can clash.
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
+    named = marked.where("id is not null").join(kept.where("id is not null"), ["id", "sha"], "left_semi")
+    nameless = marked.where("id is null").join(kept.where("id is null").select("sha"), "sha", "left_semi")
+    return named.dropDuplicates(["id", "sha"]).unionByName(nameless.dropDuplicates(["sha"])).select("row.*")

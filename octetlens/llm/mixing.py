@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import store
 
@@ -56,12 +57,17 @@ def mix_sources(
     the identifier, so reruns agree. Documents without words take none; ties of the digest go by identifier, then size,
     and repeated rows are documents of their own. A null source is a source.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    placed = _placed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), weights, share, most, seed)
+    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("cut")).cast("long").alias("taken"))
+
+
+def _placed(sized: DataFrame, weights: Sequence[float], share: float, most: float, seed: str) -> DataFrame:
+    """Rows (id, source, size, and others as they are) with source_size, target, epochs, place behind the others, and the words of the cut."""
     keyed = sized.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary")))
     # Hot sources spread over as many partitions as their rows ask for: the range is over (source, key).
     order = ["source", "key", "id", "size"]
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    local = store(ranged.select("id", "source", "size", "part").mapInArrow(_running, "id long, source string, size long, part int, before long"), "mixed")
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("source", "size", F.spark_partition_id().alias("part"), *[c for c in sized.columns if c not in ("source", "size")])
+    local = store(ranged.mapInArrow(_running, StructType([*ranged.schema, StructField("before", LongType())])), "mixed")
     parts = local.groupBy("source", "part").agg(F.sum("size").alias("n"))
     over = Window.partitionBy("source").orderBy("part")
     offsets = parts.select("source", "part", (F.sum("n").over(over) - F.col("n")).alias("start"))
@@ -70,16 +76,16 @@ def mix_sources(
     at = local.alias("d").join(plan.alias("p"), (F.col("d.part") == F.col("p.part")) & F.col("d.source").eqNullSafe(F.col("p.source")))
     words = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0))
-    left = words - epochs * F.col("source_size")
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), left - (F.col("start") + F.col("before"))))
-    return at.select("id", F.col("d.source").alias("source"), "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken")).withColumnRenamed("id", id_col)
+    left = words - epochs * F.col("source_size") - (F.col("start") + F.col("before"))
+    cut = F.greatest(F.lit(0), F.least(F.col("size"), left))
+    return at.select(*[F.col(f"d.{c}").alias(c) for c in sized.columns], "source_size", "target", epochs.alias("epochs"), left.alias("left"), cut.alias("cut"))
 
 
 def _running(batches):
-    """Adds to sorted rows the sizes before them in the same partition and source."""
+    """Adds to sorted rows (source, size, ...) the sizes before them in the same partition and source."""
     last, total = object(), 0
     for batch in batches:
-        source, size = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+        source, size = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
         n, out = batch.num_rows, np.empty(batch.num_rows, np.int64)
         if not n:
             continue
@@ -92,13 +98,21 @@ def _running(batches):
             sums = np.cumsum(size[s:e])
             out[s:e] = total + sums - size[s:e]
             total += int(sums[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=["id", "source", "size", "part", "before"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "before"])
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mix itself: each document as often as the mix begins it, whole; documents without words stay once."""
-    taken = mix_sources(docs, id_col=id_col, **how)
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.ceil(F.col("taken") / F.col("size"))).cast("int")
-    counted = taken.groupBy(F.col(id_col).alias("_id")).agg(F.max(times).alias("_times"))
-    copies = docs.join(counted, docs[id_col].eqNullSafe(counted["_id"]))
-    return copies.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The mix itself, of whole documents with all their columns, each as often as its source's target asks for.
+
+    The document at the cut is in if half of it or more lies before the cut, so that a source misses its target by half a
+    document at most; one without words is in if it lies before the cut. Rows that repeat others, or have no identifier, are
+    documents of their own.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    placed = _placed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row), weights, share, most, seed)
+    begun = (F.col("left") > 0) & (2 * F.col("cut") >= F.col("size"))
+    times = (F.col("epochs") + F.when(begun, 1).otherwise(0)).cast("int")
+    return placed.select("row", F.explode(F.array_repeat(F.lit(True), times)).alias("copy")).select("row.*")

@@ -112,6 +112,8 @@ def test_exact(docs, empty):
     assert exact_groups(empty).count() == 0
     kept = exact_dedup(docs)
     assert kept.columns == docs.columns
+    named = docs.withColumns({"_sha": F.lit(1), "sha": F.lit(2), "_id": F.lit(3)})
+    assert exact_dedup(named).columns == named.columns and exact_dedup(named).count() == kept.count()
     assert Counter(squeezed(r.text) for r in kept.collect()) == Counter(dict.fromkeys(groups, 1))
 
 
@@ -205,7 +207,23 @@ def test_mixing(docs, empty):
     key = lambda rows: sorted((r.doc_id or -1, r.size, r.taken) for r in rows)
     assert key(got) == key(mix_sources(docs.repartition(5)).collect())
     assert mix_sources(empty).count() == 0
-    assert mixed_documents(docs).columns == docs.columns
+    named = docs.withColumns({c: F.lit(1) for c in ("_id", "_times", "_copy", "left", "cut", "epochs", "target", "source_size", "before", "copy")})
+    mixed = mixed_documents(named)
+    assert mixed.columns == named.columns and mixed_documents(empty).count() == 0
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len(WORD.findall(r.text or ""))
+    largest = {s: max(len(WORD.findall(t or "")) for _, t, _, x, _ in ROWS if x == s) for s in order}
+    assert all(abs(words[s] - target[s]) <= largest[s] / 2 + 1 for s in order)
+
+
+def test_mix_of_rows_without_identifier(spark):
+    """Nameless and repeated rows are documents of their own: none is taken for another."""
+    rows = [(None, f"a{i} b c", "s") for i in range(40)] + [(5, "d e f g", "s"), (5, "h", "s"), (6, None, "t"), (6, "", None)]
+    got = Counter(r.text for r in mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=1.0, most=1.0).collect())
+    assert got == Counter(t for _, t, s in rows if s == "s")
+    half = mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5, most=2.0).collect()
+    assert abs(sum(len((r.text or "").split()) for r in half) - 62) <= 2 and max(Counter(r.text for r in half).values()) == 1
 
 
 # ------------------------------------------------------------------ tokens
