@@ -4,7 +4,8 @@ A document's shingles give MinHash samples. Bands of samples propose candidates;
 (an odd sketch) estimate a pair's similarity from the population count of the bitmaps' XOR and discard what is far
 below the threshold; what is left is confirmed on the full sets.
 
-No bucket is expanded into pairs. First each member of a bucket meets the bucket's smallest member. Then only buckets
+Nodes are distinct sets, whatever rows and identifiers hold them. No bucket is expanded into pairs. First each member of a
+bucket meets the bucket's smallest member, whose text goes once to each SHARE of those that it meets. Then only buckets
 whose other members still lie in different components are looked at again, in cells of bounded size, and only pairs
 across components are compared there, each in the first band the two share. So every pair that shares a band is either
 compared or already connected, whatever the size of the bucket.
@@ -24,6 +25,10 @@ SAMPLES = ROWS * BANDS
 SKETCH_BITS = 256
 #: Documents in a block of a cell.
 CELL = 512
+#: Documents that one copy of a leader's text is compared with, about.
+SHARE = 512
+#: Most that a pair at the threshold may miss all bands with.
+MISS = 1e-5
 #: How far a pair's estimate may lie below the threshold before it is discarded: over six standard errors of the samples.
 MARGIN = 0.3
 _seeds = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, (2, SAMPLES), dtype=np.uint64)
@@ -71,14 +76,14 @@ def most_ones(threshold: float) -> int:
 
 #: A sketch as 64-bit words.
 WORDS = [f"s{i}" for i in range(SKETCH_BITS // 64)]
-_SIGNED = "doc_id long, n long, fingerprint binary, bands binary, " + ", ".join(f"{w} long" for w in WORDS)
+_SIGNED = "doc_id long, mark long, n long, fingerprint binary, bands binary, " + ", ".join(f"{w} long" for w in WORDS)
 
 
 def _sign(k: int):
     def run(batches):
         for batch in batches:
             n, mark, band, sketch = [], [], [], np.zeros((batch.num_rows, len(WORDS)), np.int64)
-            for i, text in enumerate(batch.column(1)):
+            for i, text in enumerate(batch.column(2)):
                 x = shingle_hashes(word_hashes(text.as_py()), k)
                 n.append(len(x))
                 if not len(x):
@@ -91,8 +96,8 @@ def _sign(k: int):
                 band.append(bands(low).tobytes())
                 sketch[i] = odd_sketch(low)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(band, pa.binary()), *[pa.array(c) for c in sketch.T.copy()]],
-                names=["doc_id", "n", "fingerprint", "bands", *WORDS],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(mark, pa.binary()), pa.array(band, pa.binary()), *[pa.array(c) for c in sketch.T.copy()]],
+                names=["doc_id", "mark", "n", "fingerprint", "bands", *WORDS],
             )
 
     return run
@@ -116,18 +121,20 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(k: int, percent: int):
-    """Keeps the pairs (a, b) whose texts' full sets are similar enough; a leader's set is kept while it repeats."""
+    """Of rows (leader, part, a, text), sorted so that a leader's own row, with a null, comes first: links of similar sets."""
 
     def run(batches):
-        last, kept = None, None
+        mine = None
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
+            leader, a, text = (batch.column(c) for c in ("leader", "a", "text"))
             ok = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                if kept is None or b[i].as_py() != last:
-                    last, kept = b[i].as_py(), shingle_hashes(word_hashes(batch.column(3)[i].as_py()), k)
-                ok[i] = similar(shingle_hashes(word_hashes(batch.column(2)[i].as_py()), k), kept, percent)
-            yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), b.filter(pa.array(ok))], names=["a", "b"])
+                x = shingle_hashes(word_hashes(text[i].as_py()), k)
+                if a[i].as_py() is None:
+                    mine = x
+                else:
+                    ok[i] = similar(x, mine, percent)
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(ok)), leader.filter(pa.array(ok))], names=["a", "b"])
 
     return run
 
@@ -184,33 +191,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     A document's set holds the distinct runs of ``k`` words of its text, A-Z lower-cased; of a shorter text the whole
     sequence. Documents with 100 * intersection >= percent * union are linked; a component is named by its smallest
     identifier. Texts without words, and rows without an identifier, link with nothing and are kept; a nameless row has
-    no component. Rows that repeat an identifier count as one node, confirmed by the smallest of its texts.
+    no component. Rows that repeat an identifier are linked with each other, and each of their texts links for itself.
+    A ``percent`` so low that the bands would miss pairs is refused.
     """
+    if (1 - (percent / 100) ** ROWS) ** BANDS > MISS:
+        raise ValueError(f"{BANDS} bands of {ROWS} samples miss too many pairs at {percent} percent")
     ones = most_ones(percent / 100)
-    signed = store(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sign(k), _SIGNED), "signed")
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    signed = store(named.mapInArrow(_sign(k), _SIGNED), "signed")
     usable = signed.where("fingerprint is not null and doc_id is not null")
-    # Equal sets collapse to their smallest document before anything is compared.
-    reps = store(usable.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "n", "bands", *WORDS)).alias("r")).select("fingerprint", F.col("r.doc_id").alias("id"), *[f"r.{c}" for c in ("n", "bands", *WORDS)]), "reps")
+    # Equal sets collapse to one node, that of their smallest document, before anything is compared.
+    first_of = usable.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "mark", "n", "bands", *WORDS)).alias("r"))
+    reps = store(first_of.select("fingerprint", F.monotonically_increasing_id().alias("id"), *[f"r.{c}" for c in ("doc_id", "mark", "n", "bands", *WORDS)]), "reps")
     keyed = reps.select("id", "bands").mapInArrow(_band_rows, "key long, id long")
     leaders = store(keyed.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1").select("key", "leader"), "leaders")
     shared = store(keyed.join(leaders, "key"), "shared")
-    wanted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(shared.select("id").distinct(), "id")
+    wanted = named.join(reps.select("id", "doc_id", "mark").join(shared.select("id").distinct(), "id"), ["doc_id", "mark"])
     texts = store(wanted.groupBy("id").agg(F.min("text").alias("text")), "texts")
-    pairs = shared.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = shared.where("id <> leader").select(F.col("id").alias("a"), "leader").distinct()
     light = reps.select("id", "n", *WORDS)
-    close = pairs.join(light.toDF("a", "na", *[f"a{w}" for w in WORDS]), "a").join(light.toDF("b", "nb", *[f"b{w}" for w in WORDS]), "b")
+    close = pairs.join(light.toDF("a", "na", *[f"a{w}" for w in WORDS]), "a").join(light.toDF("leader", "nb", *[f"b{w}" for w in WORDS]), "leader")
     xor = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in WORDS), F.lit(0))
-    close = close.where((xor <= ones) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-    both = close.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    links = store(both.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
+    close = store(close.where((xor <= ones) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "leader"), "close")
+    # A leader's pairs are dealt to parts of bounded size, and its text goes to each part once.
+    met = close.join(close.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).alias("parts")), "leader").select("leader", F.pmod(F.xxhash64("a"), "parts").alias("part"), "a")
+    own = met.select("leader", "part").distinct().join(texts.withColumnRenamed("id", "leader"), "leader").select("leader", "part", F.lit(None).cast("long").alias("a"), "text")
+    both = met.join(texts.withColumnRenamed("id", "a"), "a").select("leader", "part", "a", "text").union(own)
+    dealt = both.repartition("leader", "part").sortWithinPartitions("leader", "part", F.asc_nulls_first("a"))
+    links = store(dealt.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
     first = store(components(links), "first")
     # Buckets whose members, the leader apart, lie in several components. Members of the largest need no second look at
     # each other: each lies in one cell, and only the others, mostly few, go to all cells and meet among themselves.
-    named = shared.where("id <> leader").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    parts = named.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
+    others = shared.where("id <> leader").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    parts = others.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key")
     parts = parts.agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("members")).where("most.n < members")
     open_ = store(parts.select("key", F.col("most.component").alias("largest"), F.ceil(F.col("most.n") / CELL).alias("inner"), F.ceil((F.col("members") - F.col("most.n")) / CELL).alias("outer")), "open")
-    rows = named.join(open_, "key").withColumn("apart", F.col("component") != F.col("largest"))
+    rows = others.join(open_, "key").withColumn("apart", F.col("component") != F.col("largest"))
     block = F.pmod(F.xxhash64("id"), F.when(F.col("apart"), F.col("outer")).otherwise(F.col("inner")))
     every = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)
     cell = lambda kind, low, high: F.struct(F.lit(kind).alias("kind"), low.cast("long").alias("low"), high.cast("long").alias("high"))
@@ -220,8 +236,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     cells = rows.withColumn("block", block).withColumn("cell", F.explode(held)).select("key", "id", "component", "apart", "block", "cell.*")
     filled = cells.join(reps.select("id", "n", "bands", *WORDS), "id").join(texts, "id")
     more = store(filled.groupBy("key", "kind", "low", "high").applyInArrow(_cell(k, percent, ones), "a long, b long"), "more")
-    final = store(components(links.union(more)), "final")
-    per_set = store(reps.select("fingerprint", "id").join(final, "id", "left").select("fingerprint", F.coalesce("component", "id").alias("component")), "per_set")
+    # Several sets of one identifier belong together.
+    several = usable.groupBy("doc_id").agg(F.min("fingerprint").alias("least"), F.max("fingerprint").alias("most")).where("least <> most").select("doc_id")
+    held = usable.join(several, "doc_id").select("doc_id", "fingerprint").distinct().join(reps.select("fingerprint", "id"), "fingerprint")
+    same = held.join(held.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b")
+    final = store(components(links.union(more).union(same)), "final")
+    placed = reps.select("fingerprint", "id", "doc_id").join(final, "id", "left").select("fingerprint", "doc_id", F.coalesce("component", "id").alias("place"))
+    named_by = placed.groupBy("place").agg(F.min("doc_id").alias("component"))
+    per_set = store(placed.join(named_by, "place").select("fingerprint", "component"), "per_set")
     out = signed.select("doc_id", "n", "fingerprint").join(per_set, "fingerprint", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
@@ -231,7 +253,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
+    """The documents that stay, one of each component, with all their columns; all rows of its identifier."""
     kept = near_duplicates(docs, k, percent, id_col, text_col).where("kept").select(id_col).distinct()
     named = docs.join(kept.where(F.col(id_col).isNotNull()), id_col, "left_semi")
     return named.select(*docs.columns).union(docs.where(F.col(id_col).isNull()).select(*docs.columns))

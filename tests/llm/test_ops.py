@@ -143,6 +143,27 @@ def test_near(docs, empty, monkeypatch):
     assert near_dedup.near_dedup(empty).columns == empty.columns
 
 
+def test_near_texts_of_one_identifier(spark, monkeypatch):
+    """Each text of an identifier links for itself; a leader's pairs fall into several parts."""
+    monkeypatch.setattr(near_dedup, "SHARE", 2)
+    x, y = prose(60, random.Random(5)), prose(60, random.Random(6))
+    rows = [(5, x), (5, y), (9, y + " end"), (3, x + " tail"), (4, prose(50, random.Random(7)))] + [(20 + i, f"{y} z{i}") for i in range(9)]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert got == {(i, 4 if i == 4 else 3) for i, _ in rows}
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=50)
+
+
+def test_margin_keeps_pairs_at_the_threshold():
+    r = np.random.Generator(np.random.PCG64(9))
+    most, lost, n = near_dedup.most_ones(0.8), 0, 20000
+    for _ in range(n):
+        a, b = r.integers(1, 2**63, (2, near_dedup.SAMPLES), dtype=np.uint64)
+        b = np.where(r.random(near_dedup.SAMPLES) < 0.8, a, b)
+        lost += np.bitwise_count((near_dedup.odd_sketch(a) ^ near_dedup.odd_sketch(b)).view(np.uint64)).sum() > most
+    assert lost == 0
+
+
 def test_near_cells():
     """Members of different components meet in a cell, in the first band they share."""
     import pyarrow as pa
