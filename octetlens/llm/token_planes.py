@@ -1,21 +1,25 @@
 """Token ids in bit planes: fixed-size blocks of ids, transposed into bit or byte planes, each compressed with zstandard.
 
-A segment is a run of whole documents in ascending order of identifiers, one binary value:
+A segment is a run of whole documents in ascending order of identifiers, one file:
 
     magic "OLP1", then little-endian: u32 bits in a plane's unit (1 or 8), u32 ids in a block, u64 documents, u64 ids, u32 blocks
     the chunk index: for each block u64 offset from the end of the index, u32 ids, u32 planes
     i64 identifier and u64 ids of each document (u8 before them: identifier present)
     blocks: for each plane u32 length and the compressed bytes
 
-Segments are rows of a table, so any store that Spark writes holds them, and a lost executor's part is written again.
+Workers write segments into the shared folder under a name of their own and rename them when they are whole, so that a lost
+or repeated task leaves no half of one; a table lists them. A reader seeks blocks by the index and holds one at a time.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import uuid
 import zlib
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import scratch, store
 
 MAGIC = b"OLP1"
 _HEAD = struct.Struct("<4sIIQQI")
@@ -72,24 +76,66 @@ def write_segment(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, unit: int
     return b"".join([head, index.tobytes(), there.tobytes(), names.tobytes(), np.asarray(lengths, "<u8").tobytes(), *[x for _, x in parts]])
 
 
-def read_segment(data: bytes, first: int = 0, last: int | None = None) -> tuple[list, np.ndarray, np.ndarray]:
-    """Identifiers, lengths, and the ids from ``first`` to before ``last``; only blocks that hold some are decompressed."""
-    view = memoryview(data)
-    magic, unit, block, docs, n, blocks = _HEAD.unpack_from(view)
-    if magic != MAGIC:
-        raise ValueError("not a segment of token planes")
-    at = _HEAD.size
-    index = np.frombuffer(view, _CHUNK, blocks, at)
-    at += index.nbytes
-    there = np.frombuffer(view, np.uint8, docs, at)
-    names = np.frombuffer(view, "<i8", docs, at + docs)
-    lengths = np.frombuffer(view, "<u8", docs, at + 9 * docs)
-    at += 17 * docs
-    last = n if last is None else last
-    some = range(first // block, -(-last // block)) if last > first else ()
-    out = [unpack_block(view[at + int(index["offset"][k]) :], int(index["ids"][k]), int(index["planes"][k]), unit) for k in some]
-    ids = np.concatenate(out)[first - some[0] * block : last - some[0] * block] if out else np.empty(0, "<u4")
-    return [int(x) if ok else None for x, ok in zip(names, there)], lengths, ids
+class Segment:
+    """A segment behind ``read(offset, size)``: head, index and documents at once, blocks when they are asked for."""
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        magic, self.unit, self.block, docs, self.n, blocks = _HEAD.unpack(read(0, _HEAD.size))
+        if magic != MAGIC:
+            raise ValueError("not a segment of token planes")
+        at = _HEAD.size
+        self.index = np.frombuffer(read(at, blocks * _CHUNK.itemsize), _CHUNK)
+        at += self.index.nbytes
+        listed = read(at, 17 * docs)
+        there, names = np.frombuffer(listed, np.uint8, docs), np.frombuffer(listed, "<i8", docs, docs)
+        self.names = [int(x) if ok else None for x, ok in zip(names, there)]
+        self.lengths = np.frombuffer(listed, "<u8", docs, 9 * docs).astype(np.int64)
+        self.start = at + 17 * docs
+
+    def blocks(self, first: int = 0, last: int | None = None) -> Iterator[np.ndarray]:
+        """The ids from ``first`` to before ``last`` block by block; only blocks that hold some are read."""
+        last = self.n if last is None else last
+        for k in range(first // self.block, -(-last // self.block) if last > first else 0):
+            offset = int(self.index["offset"][k])
+            size = int(self.index["offset"][k + 1]) - offset if k + 1 < len(self.index) else -1
+            ids = unpack_block(memoryview(self.read(self.start + offset, size)), int(self.index["ids"][k]), int(self.index["planes"][k]), self.unit)
+            yield ids[max(0, first - k * self.block) : last - k * self.block]
+
+    def checksums(self) -> list[int]:
+        """crc32 of each document's ids as little-endian unsigned 32-bit integers."""
+        out, parts, at = [0] * len(self.lengths), self.blocks(), 0
+        ids = np.empty(0, "<u4")
+        for k, left in enumerate(self.lengths.tolist()):
+            while left:
+                if at == len(ids):
+                    ids, at = next(parts), 0
+                some = ids[at : at + left]
+                out[k] = zlib.crc32(np.ascontiguousarray(some, "<u4"), out[k])
+                at, left = at + len(some), left - len(some)
+        return out
+
+
+def of_bytes(data: bytes) -> Segment:
+    return Segment(lambda at, size: data[at : at + size] if size >= 0 else data[at:])
+
+
+def place_of(path: str):
+    """File system and path within it, for workers."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    return fs.FileSystem.from_uri(path) if rest and scheme != "file" else (fs.LocalFileSystem(), "/" + (rest or path).lstrip("/"))
+
+
+def write_file(path: str, data: bytes) -> None:
+    """All of it or nothing: written under a name of its own, then renamed."""
+    system, at = place_of(path)
+    system.create_dir(os.path.dirname(at), recursive=True)
+    own = f"{at}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as f:
+        f.write(data)
+    system.move(own, at)
 
 
 # ------------------------------------------------------------------ encoding
@@ -97,8 +143,6 @@ def read_segment(data: bytes, first: int = 0, last: int | None = None) -> tuple[
 
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -189,10 +233,10 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-_SEGMENTS = "shard int, segment int, n_docs long, n_ids long, data binary"
+_SEGMENTS = "shard int, segment int, n_docs long, n_ids long, path string"
 
 
-def _encode(path: str, end_id: int, unit: int, block: int, most: int):
+def _encode(path: str, folder: str, end_id: int, unit: int, block: int, most: int):
     def run(batches):
         encoder, segment = _encoder(path), 0
         names, lengths, parts, held = [], [], [], 0
@@ -202,7 +246,9 @@ def _encode(path: str, end_id: int, unit: int, block: int, most: int):
         def flush():
             nonlocal segment, names, lengths, parts, held
             data = write_segment(names, np.array(lengths), np.frombuffer(b"".join(parts), "<u4"), unit, block)
-            row = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (segment, pa.int32()), (len(names), pa.int64()), (held, pa.int64()), (data, pa.binary()))], names=["shard", "segment", "n_docs", "n_ids", "data"])
+            at = f"{folder}/{shard:08}-{segment:06}.olp"
+            write_file(at, data)
+            row = pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (segment, pa.int32()), (len(names), pa.int64()), (held, pa.int64()), (at, pa.string()))], names=["shard", "segment", "n_docs", "n_ids", "path"])
             segment, names, lengths, parts, held = segment + 1, [], [], [], 0
             return row
 
@@ -225,16 +271,19 @@ def _encode(path: str, end_id: int, unit: int, block: int, most: int):
 
 
 def write_tokens(
-    docs: DataFrame, tokenizer: str, end_id: int = 1, unit: int = 8, block: int = 16384, segment_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, end_id: int = 1, unit: int = 8, block: int = 16384, segment_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None
 ) -> DataFrame:
-    """Encodes every text, appends ``end_id``, and writes segments in ascending order of identifiers: the written table.
+    """Encodes every text, appends ``end_id``, and writes segments in ascending order of identifiers: the list of files.
 
-    A null text is empty. Nulls come first; rows that repeat an identifier follow in the order of their texts. Shards are
-    ranges of identifiers; a segment holds ``segment_ids`` ids or a little more.
+    A null text is empty. Nulls come first; rows that repeat an identifier follow in the order of a hash of their texts, equal
+    rows in any. Shards are ranges of these, so that no identifier or text is too much for one; a segment holds
+    ``segment_ids`` ids or a little more. Files go to ``folder``, of the application's shared one by default.
     """
+    folder = folder or f"{scratch(docs.sparkSession)}/planes-{uuid.uuid4().hex[:12]}"
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sorted_ = picked.repartitionByRange("id").sortWithinPartitions("id", "text").withColumn("shard", F.spark_partition_id())
-    return store(sorted_.mapInArrow(_encode(tokenizer, end_id, unit, block, segment_ids), _SEGMENTS), "tokens")
+    keyed = picked.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    sorted_ = keyed.repartitionByRange("id", "hash", "row").sortWithinPartitions("id", "hash").select("id", "text", F.spark_partition_id().alias("shard"))
+    return store(sorted_.mapInArrow(_encode(tokenizer, folder, end_id, unit, block, segment_ids), _SEGMENTS), "tokens")
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
@@ -247,16 +296,20 @@ def segment_starts(segments: DataFrame) -> DataFrame:
 
 def _documents(batches):
     for batch in batches:
-        for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            names, lengths, ids = read_segment(data.as_py())
-            ends = np.cumsum(lengths.astype(np.int64))
-            raw = memoryview(ids.astype("<u4")).cast("B")
-            crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start + ends - lengths.astype(np.int64)), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for start, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            system, at = place_of(path)
+            with system.open_input_file(at) as f:
+                size = f.size()
+                segment = Segment(lambda offset, n, f=f, size=size: f.read_at(size - offset if n < 0 else n, offset))
+                crc = segment.checksums()
+            ends = np.cumsum(segment.lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(segment.names, pa.int64()), pa.array(start + ends - segment.lengths), pa.array(segment.lengths), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads the segments back: (id, start, n_tokens, ids_crc32) of each document."""
+    """Reads the files back: (id, start, n_tokens, ids_crc32) of each document."""
     starts = store(segment_starts(segments), "starts")
-    at = segments.select("shard", "segment", "data").join(starts, ["shard", "segment"]).select("start", "data")
-    return at.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("doc_id", id_col)
+    at = segments.select("shard", "segment", "path").join(starts, ["shard", "segment"]).select("start", "path")
+    # The list is short, what it names is not: each file to a task of its own, while there are tasks.
+    files = max(1, min(segments.count(), 8 * segments.sparkSession.sparkContext.defaultParallelism))
+    return at.repartition(files).mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("doc_id", id_col)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -250,18 +251,20 @@ def test_mix_of_rows_without_identifier(spark):
 # ------------------------------------------------------------------ tokens
 
 
-def test_token_planes(docs, empty):
+def test_token_planes(docs, empty, tmp_path):
     path = tokenizer_file("word_bpe_49k.json")
     library = token_planes._tokenizer(path)
-    want, start = [], 0
-    for i, t, *_ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
-        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
-        want.append((i, start, len(ids), zlib.crc32(array("I", ids).tobytes())))
-        start += len(ids)
-    written = token_planes.write_tokens(docs, path, segment_ids=5000, block=700)
-    assert written.count() > 3
-    got = token_planes.read_tokens(written).collect()
-    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    coded = [(i, library.encode(t or "", add_special_tokens=False).ids + [1]) for i, t, *_ in ROWS]
+    folder = str(tmp_path / "planes")
+    written = token_planes.write_tokens(docs, path, segment_ids=5000, block=700, folder=f"file://{folder}").collect()
+    assert len(written) > 3 and sorted(os.listdir(folder)) == sorted(r.path.rsplit("/", 1)[1] for r in written)
+    got = sorted(map(tuple, token_planes.read_tokens(docs.sparkSession.createDataFrame(written)).collect()), key=lambda r: r[1])
+    assert [(r[0] is not None, r[0] or 0) for r in got] == sorted((i is not None, i or 0) for i, _ in coded)
+    assert Counter((i, n, crc) for i, _, n, crc in got) == Counter((i, len(x), zlib.crc32(array("I", x).tobytes())) for i, x in coded)
+    assert [s for _, s, _, _ in got] == [sum(r[2] for r in got[:k]) for k in range(len(got))]
+    # The files hold the ids themselves.
+    whole = b"".join(np.concatenate([*token_planes.of_bytes(open(r.path.removeprefix("file://"), "rb").read()).blocks()]).astype("<u4").tobytes() for r in sorted(written, key=lambda r: (r.shard, r.segment)))
+    assert len(whole) == 4 * sum(len(x) for _, x in coded) and all(array("I", x).tobytes() in whole for _, x in coded)
     assert token_planes.read_tokens(token_planes.write_tokens(empty, path)).count() == 0
 
 
@@ -270,10 +273,23 @@ def test_segments(unit):
     r = np.random.Generator(np.random.PCG64(3))
     for ids in (r.integers(0, 49408, 10000), np.zeros(5), np.array([2**32 - 1, 0]), np.empty(0)):
         ids = ids.astype("<u4")
-        data = token_planes.write_segment([None, 5, -3], np.array([0, len(ids), 0]), ids, unit, 999)
-        names, lengths, back = token_planes.read_segment(data)
-        assert names == [None, 5, -3] and lengths.tolist() == [0, len(ids), 0] and (back == ids).all()
-        assert (token_planes.read_segment(data, 1, len(ids) // 2)[2] == ids[1 : len(ids) // 2]).all()
+        lengths = np.array([0, len(ids) - len(ids) // 3, 0, len(ids) // 3])
+        data = token_planes.write_segment([None, 5, -3, 2**63 - 1], lengths, ids, unit, 999)
+        seen = []
+
+        def read(at, size, data=data, seen=seen):
+            seen.append(at)
+            return data[at : at + size] if size >= 0 else data[at:]
+
+        segment = token_planes.Segment(read)
+        whole = lambda *x, segment=segment: np.concatenate([np.empty(0, "<u4"), *segment.blocks(*x)])
+        assert segment.names == [None, 5, -3, 2**63 - 1] and (segment.lengths == lengths).all() and (whole() == ids).all()
+        seen.clear()
+        assert (whole(1, len(ids) // 2) == ids[1 : len(ids) // 2]).all() and len(seen) <= len(ids) // 2 // 999 + 1
+        cut = np.cumsum(lengths)[:-1]
+        assert segment.checksums() == [zlib.crc32(x.tobytes()) for x in np.split(ids, cut)]
+    with pytest.raises(ValueError):
+        token_planes.of_bytes(b"x" * 100)
 
 
 def test_pieces(docs, empty):
