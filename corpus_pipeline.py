@@ -10,7 +10,7 @@ from octetlens.llm.exact_dedup import exact_dedup
 from octetlens.llm.mixing import mixed_documents
 from octetlens.llm.near_dedup import near_dedup
 from octetlens.llm.pieces import encode_pieces
-from octetlens.llm.queries import tokenizer_file
+from octetlens.llm.queries import tokenizer_file, toxic_labels
 from octetlens.llm.toxicity import score_toxicity, train_toxicity
 
 #: A document is rejected from this score on.
@@ -21,10 +21,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier, learnt from the labelled ones, calls toxic."""
     ship(spark)
     held_out = F.coalesce(F.pmod(crc_of_id(), F.lit(4)) == 2, F.lit(False))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = train_toxicity(docs.select("doc_id", "text").where(~held_out).join(labels, "doc_id"))
-    scored = score_toxicity(docs.withColumn("_all", F.struct(*docs.columns)).select("_all", "text"), model, THRESHOLD, keep=True)
-    return scored.where("predicted = 0").select("_all.*")
+    model = train_toxicity(docs.select("doc_id", "text").where(~held_out).join(toxic_labels(spark, sf_dir), "doc_id"))
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), "text")  # a document's own score column stays its own
+    return score_toxicity(whole, model, THRESHOLD, keep=True).where("predicted = 0").select("whole.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents until each source has its target share of words."""
+    """Repeats or leaves out whole documents until each source has its target share of words, but for half a document."""
     ship(spark)
     return mixed_documents(docs)
 
