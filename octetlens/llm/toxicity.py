@@ -174,23 +174,23 @@ def _examples(mentions: float, bits: int, groups):
 
 
 def train_toxicity(
-    labelled: DataFrame, sample_rows: int = 12000, text_col: str = "text", label_col: str = "toxic",
+    labelled: DataFrame, sample_rows: int = 12000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id",
     alpha: float = 0.5, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0, fairness: float = 1.0, mentions: float = 0.25, epochs: int = 4, bits: int = BITS, groups=IDENTITY_GROUPS,
 ) -> ToxicityModel:
-    """Fits on about ``sample_rows`` distinct labelled texts chosen by a hash of text and label; a fifth is kept to calibrate.
+    """Fits on about ``sample_rows`` labelled rows chosen by a hash of the identifier; a fifth is kept to calibrate.
 
-    Rows that are equal in text and label count once, so that a group of copies doesn't outweigh the rest; a text with both
-    labels is an example of each. A null text is empty. Rows without label are left out. ``mentions`` is the share of texts
-    without identity terms that get one. The order of rows doesn't matter. Without labelled rows every text scores one half.
+    Repeated rows count as often as they occur. A null text is empty. Rows without label are left out. ``mentions`` is the
+    share of texts without identity terms that get one. Ties of identifiers go by text and label, so the order of rows doesn't
+    matter. Without labelled rows every text scores one half.
     """
-    known = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) > 0).cast("int").alias("label"))
-    total = known.select("label").count()
+    known = labelled.where(F.col(label_col).isNotNull()).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), (F.col(label_col) > 0).cast("int").alias("label"), F.col(id_col).alias("id"))
+    total = known.select("id", "label").count()
     if not total:
         return ToxicityModel(np.zeros(1 << bits, np.float32), 0.0)
-    draw = F.xxhash64("text", "label")
-    chosen = known.where(F.pmod(draw, F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / total)) + 1).dropDuplicates(["text", "label"])
-    fold = F.pmod(F.xxhash64("text", F.lit("fold")), F.lit(5)).cast("int").alias("fold")
-    coded = chosen.select("text", "label", fold, draw.alias("draw")).orderBy("draw", "text", "label").drop("draw").mapInArrow(_examples(mentions, bits, groups), "label int, fold int, at binary, other binary")
+    part = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1_000_000))
+    chosen = known.where(part < int(1_000_000 * min(1.0, sample_rows / total)) + 1)
+    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(5)).cast("int").alias("fold")
+    coded = chosen.select("text", "label", fold, "id").orderBy("id", "text", "label").drop("id").mapInArrow(_examples(mentions, bits, groups), "label int, fold int, at binary, other binary")
     made, folds = [], []
     for r in coded.toLocalIterator():
         made.append((r.label, np.frombuffer(r.at, "<u4").astype(np.int32), None if r.other is None else np.frombuffer(r.other, "<u4").astype(np.int32)))
