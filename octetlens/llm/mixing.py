@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType
 
 from .common import store
 
@@ -67,7 +67,9 @@ def _placed(sized: DataFrame, weights: Sequence[float], share: float, most: floa
     # Hot sources spread over as many partitions as their rows ask for: the range is over (source, key).
     order = ["source", "key", "id", "size"]
     ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("source", "size", F.spark_partition_id().alias("part"), *[c for c in sized.columns if c not in ("source", "size")])
-    local = store(ranged.mapInArrow(_running, StructType([*ranged.schema, StructField("before", LongType())])), "mixed")
+    # Only source and size go to Python; whole rows stay in the JVM.
+    running = F.arrow_udf(_running, LongType()).asNondeterministic()
+    local = store(ranged.select("*", running("source", "size").alias("before")), "mixed")
     parts = local.groupBy("source", "part").agg(F.sum("size").alias("n"))
     over = Window.partitionBy("source").orderBy("part")
     offsets = parts.select("source", "part", (F.sum("n").over(over) - F.col("n")).alias("start"))
@@ -81,12 +83,12 @@ def _placed(sized: DataFrame, weights: Sequence[float], share: float, most: floa
     return at.select(*[F.col(f"d.{c}").alias(c) for c in sized.columns], "source_size", "target", epochs.alias("epochs"), left.alias("left"), cut.alias("cut"))
 
 
-def _running(batches):
-    """Adds to sorted rows (source, size, ...) the sizes before them in the same partition and source."""
+def _running(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """For sorted rows (source, size): the sizes before each in the same partition and source."""
     last, total = object(), 0
-    for batch in batches:
-        source, size = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-        n, out = batch.num_rows, np.empty(batch.num_rows, np.int64)
+    for source, size in batches:
+        n, size = len(source), size.to_numpy(zero_copy_only=False)
+        out = np.empty(n, np.int64)
         if not n:
             continue
         codes = source.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
@@ -98,7 +100,7 @@ def _running(batches):
             sums = np.cumsum(size[s:e])
             out[s:e] = total + sums - size[s:e]
             total += int(sums[-1])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "before"])
+        yield pa.array(out)
 
 
 def mixed_documents(
