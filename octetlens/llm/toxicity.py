@@ -14,9 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from .common import mix, powers
 
@@ -201,22 +201,23 @@ def train_toxicity(
     return model
 
 
+def toxicity_scorer(spark: SparkSession, model: ToxicityModel, bits: int = BITS):
+    """A function of a text column that gives its score; only the text goes to Python, a row's other columns stay where they are."""
+    shared = spark.sparkContext.broadcast(model)  # 2 ** bits weights
+
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(t.as_py(), bits) for t in texts], pa.float64())
+
+    # Called nondeterministic so that a filter on the score isn't moved below it, which would score texts twice.
+    return F.arrow_udf(score, DoubleType()).asNondeterministic()
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, keep: bool = False) -> DataFrame:
     """For every document: (id, score, predicted), or with ``keep`` all its columns and these, in place of any of that name.
 
     Empty and null texts get the score of a text without words. Rows that repeat others stay rows of their own, and equal
     texts score alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** bits weights
-
-    def run(batches):
-        for batch in batches:
-            scores = np.array([shared.value.score(t.as_py(), bits) for t in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
-
-    # All columns travel as one, so that no name of theirs can clash.
-    names = [c for c in docs.columns if c not in ("score", "predicted")] if keep else []
-    row = F.struct(*[F.col(f"`{c}`") for c in names]) if keep else F.struct(F.col(id_col).cast("long").alias(id_col))
-    picked = docs.select(row.alias("row"), F.col(text_col).alias("text"))
-    fields = StructType([picked.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return picked.mapInArrow(run, fields).select("row.*", "score", "predicted")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")] if keep else [F.col(id_col).cast("long").alias(id_col)]
+    scored = docs.select(*kept, toxicity_scorer(docs.sparkSession, model, bits)(F.col(text_col)).alias("score"))
+    return scored.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
