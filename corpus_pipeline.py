@@ -11,7 +11,7 @@ from octetlens.llm.mixing import mixed_documents
 from octetlens.llm.near_dedup import near_dedup
 from octetlens.llm.pieces import encode_pieces
 from octetlens.llm.queries import tokenizer_file, toxic_labels
-from octetlens.llm.toxicity import score_toxicity, train_toxicity
+from octetlens.llm.toxicity import toxicity_scorer, train_toxicity
 
 #: A document is rejected from this score on.
 THRESHOLD = 0.3
@@ -22,8 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     held_out = F.coalesce(F.pmod(crc_of_id(), F.lit(4)) == 2, F.lit(False))
     model = train_toxicity(docs.select("doc_id", "text").where(~held_out).join(toxic_labels(spark, sf_dir), "doc_id"))
-    whole = docs.select(F.struct(*docs.columns).alias("whole"), "text")  # a document's own score column stays its own
-    return score_toxicity(whole, model, THRESHOLD, keep=True).where("predicted = 0").select("whole.*")
+    return docs.where(toxicity_scorer(spark, model)(F.col("text")) < THRESHOLD)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
