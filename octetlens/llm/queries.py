@@ -1,4 +1,4 @@
-"""The queries of this subpackage and, where SQL can express them, the same in DuckDB's SQL."""
+"""The queries of this subpackage; ``oracle.py`` has them in SQL where that can express them."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from .langid import identify_languages, train_language_model
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .ngram_lm import score_corpus
+from .oracle import ORACLE_SQL  # noqa: F401
 from .pieces import encode_pieces
 from .secrets import secret_spans
 from .token_planes import read_tokens, write_tokens
@@ -85,33 +86,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_language_id, op2_token_planes, op3_minhash_near_dedup, op4_mix_sources, op5_embedding_near_dedup, op6_toxicity, op7_exact_dedup, op8_language_model, op9_pieces, op10_secret_scan)
 }
-
-ORACLE_SQL = {
-    "op4_mix_sources": r"""
-WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rn FROM d GROUP BY source),
-w AS (SELECT source, source_size, CASE (rn - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight FROM s),
-c AS (
-  SELECT *, row_number() OVER (ORDER BY source_size / weight, source IS NULL, source) AS place, (sum(source_size) OVER ())::DOUBLE * 1.5e0 AS whole,
-         coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS below,
-         sum(weight) OVER (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
-l AS (SELECT *, (whole - 2e0 * below) / rest AS own FROM c),
-m AS (SELECT *, arg_min(own, CASE WHEN own * weight <= 2e0 * source_size THEN place END) OVER () AS level FROM l),
-t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN 2e0 * source_size ELSE least(2e0 * source_size, level * weight) END AS target FROM m),
-r AS (
-  SELECT d.*, t.source_size, t.target, floor(t.target)::BIGINT AS words,
-         (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS epochs FROM r)
-SELECT doc_id, size, source_size, target,
-       (epochs * size + greatest(0, least(size, words - epochs * source_size - before)))::BIGINT AS taken FROM e
-""",
-    "op7_exact_dedup": r"""
-WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
-g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
-SELECT t.doc_id, g.keep_id, g.group_size::BIGINT AS group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
-FROM t JOIN g USING (norm)
-""",
-}
