@@ -61,7 +61,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _merge(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("run", *KEY).agg(F.min("low").alias("low"), F.sum("n").alias("n")).sortWithinPartitions("run", "digest")
+    """Merges runs of the same number: rows of a digest meet as neighbours in sorted order, and the smallest identifier stays.
+
+    The smallest identifier is that of a struct, which no hash table of the engine can hold: so the plan sorts and merges
+    (Sort, SortAggregate) on either side of the exchange, spills as runs do, and its rows come out sorted.
+    """
+    low = F.min(F.when(F.col("low").isNotNull(), F.struct("low")))["low"]
+    return runs.groupBy("run", *KEY).agg(low.alias("low"), F.sum("n").alias("n"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
