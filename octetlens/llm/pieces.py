@@ -7,6 +7,7 @@ batch advance together as one matrix; long units use a heap. Each unit's ids are
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -15,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,11 +152,15 @@ class Merges:
 
 
 class PieceEncoder:
-    """Texts to ids exactly as the library's, each distinct unit once."""
+    """Texts to ids exactly as the library's, each distinct unit once.
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.merges, self.most, self.known = Merges(path), most, {}
-        self.library, self.differing = self.merges.library, 0
+    Units are kept in two generations of about ``most``: those that nobody asked for while one filled up are forgotten, so
+    that a worker's memory is bounded whatever the texts hold, and frequent units stay.
+    """
+
+    def __init__(self, path: str, most: int = 100_000):
+        self.merges, self.most, self.known, self.earlier = Merges(path), most, {}, {}
+        self.library = self.merges.library
         names = {i: self.library.id_to_piece(i) for i in range(self.library.get_piece_size())}
         self.length = {i: len(p) for i, p in names.items()}
         # One unit: marks with what follows them up to the next mark, a line's end, or a sign that no piece has behind a letter.
@@ -196,16 +202,24 @@ class PieceEncoder:
         for unit, text, ids in zip(units, asked, self.library.encode(asked, num_threads=1), strict=True):
             checked = array("I", ids[lead:] if text[0] == "\n" and unit[0] != MARK or unit == MARK else ids).tobytes()
             if own[unit] != checked:
-                self.differing += 1
                 own[unit] = checked
         self.known.update(own)
 
+    def forget(self) -> None:
+        """Lets go of all units: an idle worker shouldn't hold what its last task met."""
+        self.known, self.earlier = {}, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, without begin and end, as little-endian unsigned 32-bit integers."""
         if len(self.known) > self.most:
-            self.known.clear()
+            self.earlier, self.known = self.known, {}
         split = [self.split(t) if self.plain and MARK not in t and "\0" not in t else None for t in texts]
-        self.learn(list(set().union(*(u for u in split if u)) - self.known.keys()))
+        asked = set().union(*(u for u in split if u)) - self.known.keys()
+        again = asked & self.earlier.keys()
+        self.known.update((u, self.earlier[u]) for u in again)
+        self.learn(list(asked - again))
         whole = lambda t: array("I", self.library.encode(t, num_threads=1)).tobytes()
         return [whole(t) if u is None else b"".join(map(self.known.__getitem__, u)) for t, u in zip(texts, split, strict=True)]
 
@@ -215,23 +229,42 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+#: Rows and bytes of text that are encoded at once; a longer text is alone.
+_ROWS, _BYTES = 500, 1 << 20
+
+
+def slices(batch: pa.RecordBatch, rows: int = _ROWS, size: int = _BYTES):
+    """The batch in parts of bounded size by its second column, in order."""
+    length = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    at = held = 0
+    for i, n in enumerate(length):
+        if i > at and (i - at == rows or held + n > size):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < len(length):
+        yield batch.slice(at)
+
+
 def _code(path: str, keep: bool):
     def run(batches):
         encoder = piece_encoder(path)
         begin, end = (np.array([x], "<u4").tobytes() for x in (encoder.merges.begin, encoder.merges.end))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                coded = [begin + x + end for x in encoder.encode([x or "" for x in some.column(1).to_pylist()])]
-                arrays = [np.frombuffer(x, "<u4") for x in coded]
-                decoded = [encoder.library.decode(x.tolist()) for x in arrays]
-                columns = [some.column(0), pa.array([len(x) for x in arrays], pa.int64())]
-                names = ["doc_id", "n_tokens"]
-                if keep:
-                    columns += [pa.array(arrays, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                    names += ["ids", "decoded"]
-                columns += [pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded])]
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids_sha256", "decoded_sha256"])
+        try:
+            for batch in batches:
+                for some in slices(batch):
+                    coded = [begin + x + end for x in encoder.encode([x or "" for x in some.column(1).to_pylist()])]
+                    arrays = [np.frombuffer(x, "<u4") for x in coded]
+                    decoded = [encoder.library.decode(x.tolist()) for x in arrays]
+                    columns = [some.column(0), pa.array([len(x) for x in arrays], pa.int64())]
+                    names = ["doc_id", "n_tokens"]
+                    if keep:
+                        columns += [pa.array(arrays, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                        names += ["ids", "decoded"]
+                    columns += [pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in decoded])]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids_sha256", "decoded_sha256"])
+        finally:
+            encoder.forget()
 
     return run
 
