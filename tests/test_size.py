@@ -73,3 +73,46 @@ def test_contents_are_taken_one_at_a_time(spark):
     d = Detector()
     d.feed(contents[0].as_py(), builtin_pack())
     assert peak < contents.nbytes / 2 and tuple(found[0].as_py().values()) == d.close(builtin_pack()) and found[50].as_py()["encoding"] is None
+
+
+def _odd_contents():
+    random_ = random.Random(7)
+    kinds = [range(256), range(0xA1, 0xFF), [0x8F, 0xA4, 0xA1, 0xA7, 0xDF, 0x41], [*range(0xE0, 0xFB), *b" <>a."], [0xCA, 0xCA, 0x9F, 0xD0, 0x85, 0x41], [*b"~{}$B\x1b()CJa"], b"<>ab \xe9"]
+    yield from (b"", b"a", b"\xef\xbb", b"\xef\xbb\xbf", b"\x1b$B", b"~{VPND~}", b"a" * 300 + b"\x1b$)C", b"<a>caf\xe9<", "текст ".encode("utf-16le") * 9, "ひらがな、".encode("euc_jp") * 90, b"x\xe9" + b"y" * 500)
+    for k in range(210):
+        yield bytes(random_.choices(kinds[k % 7], k=random_.choice([3, 40, 700, 3000])))
+        yield ("".join(random_.choices("ひらがなのことば漢字、 \na", k=400))).encode(["shift_jis", "euc_jp", "utf-16be", "utf-8"][k % 4])
+
+
+@pytest.mark.parametrize("size", [1, 7, 256])
+def test_pieces_give_the_answer_of_one_feed(size):
+    from octetlens.operators.whole import detect_whole, probe_whole
+
+    pack = builtin_pack()
+    for content in _odd_contents():
+        pieces = [content[i : i + size] for i in range(0, len(content), size)]
+        d = Detector()
+        d.feed(content, pack)
+        assert detect_whole(lambda: iter(pieces), pack) == d.close(pack)
+        if d.high and not d.high.found:
+            assert probe_whole(pieces, pack).rows(pack) == d.high.rows(pack)
+
+
+def test_files_are_not_held(spark, tmp_path):
+    from octetlens.sources.files import detect_files
+
+    part = bytes(random.Random(3).choices(range(256), k=1 << 20))
+    (tmp_path / "large").write_bytes(part * 24)
+    (tmp_path / "_hidden").write_bytes(part * 2)
+    limit = spark.conf.get("spark.sql.sources.binaryFile.maxLength", None)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1 << 20)  # no file may be one row
+    try:
+        found = {r.path.rsplit("/", 1)[1]: tuple(r)[1:] for r in detect_files(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", limit or str((1 << 31) - 1))
+    want = {}
+    for name, times in (("large", 24), ("_hidden", 2)):
+        d = Detector()
+        d.feed(part * times, builtin_pack())
+        want[name] = d.close(builtin_pack())
+    assert found == want
