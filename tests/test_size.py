@@ -116,3 +116,15 @@ def test_files_are_not_held(spark, tmp_path):
         d.feed(part * times, builtin_pack())
         want[name] = d.close(builtin_pack())
     assert found == want
+
+
+def test_files_behind_a_mount_table(spark, tmp_path):
+    """A store that only Spark's readers know: the same answers as in place."""
+    from octetlens.sources.files import detect_files
+
+    for name, content in {"in/a": b"plain", "in/more/b": b"caf\xe9 " * 400000, "in/c": b"", "in/d": b"\xef\xbb\xbfx"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.mounted.link./in", f"file://{tmp_path}/in")
+    found = [{r.path.split("/in/")[1]: tuple(r)[1:] for r in detect_files(spark, path, recursive=True).collect()} for path in ("viewfs://mounted/in", str(tmp_path / "in"))]
+    assert found[0] == found[1] and found[0]["a"][0] == "ascii" and len(found[0]) == 4
